@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 from functools import reduce
@@ -71,31 +72,34 @@ def detect_regex(ev: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     wanted = regex_rules(rules)
     only = [r for _, r in wanted]
     hits = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("rule_ordinal"),
-                F.lit(r.rule_id).alias("rule_id"),
-                F.lit(r.category).alias("category"),
-                F.lit(r.severity).alias("severity"),
-                F.lit(r.description).alias("description"),
-                rule_match(ev, r).alias("matched_pattern"),
-            )
-            for i, r in wanted
-        ]
+        *[F.struct(F.lit(i).alias("rule_ordinal"), rule_match(ev, r).alias("text")) for i, r in wanted]
     )
-    alerts = (
+    about = F.element_at(_rule_texts(rules), F.col("hit.rule_ordinal"))
+    return (
         ev.where(any_rule_guard(ev, only))
         .select(*_EVENT_PART, F.explode(hits).alias("hit"))
-        .where(F.col("hit.matched_pattern").isNotNull())
+        .where(F.col("hit.text").isNotNull())
+        .withColumn("rule", about)
+        .selectExpr(
+            "0 as phase", "hit.rule_ordinal", "event_seq as ord_major",
+            "cast(hit.rule_ordinal as bigint) as ord_minor", "rule.*", "hit.text as matched_pattern",
+            *_EVENT_PART,
+        )
+        .withColumn("ip_group", group_of(F.col("ip")))
+        .select(*ALERT_COLUMNS)
+    )
+
+
+def _rule_texts(rules: Sequence[Rule]) -> Column:
+    """Constant array of (id, category, severity, description), by rule position."""
+    rows = [
+        {"rule_id": r.rule_id, "category": r.category, "severity": r.severity, "description": r.description}
+        for r in rules
+    ]
+    return F.from_json(
+        F.lit(json.dumps(rows)),
+        "array<struct<rule_id:string,category:string,severity:string,description:string>>",
     )
-    return alerts.select(
-        F.lit(0).alias("phase"),
-        "hit.rule_ordinal",
-        F.col("event_seq").alias("ord_major"),
-        F.col("hit.rule_ordinal").cast("long").alias("ord_minor"),
-        "hit.rule_id", "hit.category", "hit.severity", "hit.description", "hit.matched_pattern",
-        *_EVENT_PART,
-    ).withColumn("ip_group", group_of(F.col("ip"))).select(*ALERT_COLUMNS)
 
 
 def first_crossings(

@@ -16,6 +16,10 @@ SESSION_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
+# Can only be given when the session is made: call-site capture on every column call
+# makes building the larger plans twice as slow.
+BUILDER_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in SESSION_CONF.items():

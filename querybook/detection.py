@@ -15,6 +15,7 @@ from tracehound.operators import detect as de
 from tracehound.operators import graph as gr
 from tracehound.operators.rules import RULES, RegexRule, ThresholdRule, rule_stats
 from tracehound.operators.scoring import ScoreConfig
+from tracehound.runtime import materialize
 from tracehound.schema import KEY_COLUMNS, max_severity, with_ip_group
 
 _RULES = log_rules()
@@ -78,7 +79,7 @@ def _(x):
 
 
 _GENERIC = ThresholdRule("SCAN", "Recon", "LOW", "Many searches per agent", lambda df: F.contains("endpoint", F.lit("?")),
-                         threshold=25, window_seconds=6 * 3600, group_by="user_agent")
+                         threshold=25, window_seconds=86400, group_by="user_agent")
 
 
 @query("detect_threshold_generic", with_ctes(
@@ -95,13 +96,13 @@ def _(x):
 
 @query("detect_all", with_ctes(f"SELECT {ALERT} FROM al", "al"))
 def _(x):
-    return x.al
+    return de.detect_all(x.ev, _RULES)
 
 
 @query("alerts_by_event", with_ctes(
     f"SELECT {', '.join(KEY_COLUMNS)}, rule_id, rule_ordinal, count(*) AS alert_count, min(event_seq) AS first_event_seq FROM al_regex GROUP BY ALL", "al_regex"))
 def _(x):
-    return de.alerts_by_event(x.al)
+    return de.alerts_by_event(de.detect_regex(x.ev, _RULES))
 
 
 _RULE_ROWS = ", ".join(
@@ -301,7 +302,7 @@ def _(x):
 @query("graph_filter", with_ctes(
     "SELECT source, target, weight, severity FROM edges WHERE source LIKE 'ip_%' AND target LIKE 'ep_%'", "edges"))
 def _(x):
-    nodes, edges = gr.blast_radius(co.attacker_profile(x.ev, x.al), x.ev, x.al)
+    nodes, edges = gr.blast_radius(materialize(co.attacker_profile(x.ev, x.al)), x.ev, x.al)
     return gr.graph_filter(nodes, edges, ["attacker", "endpoint"])[1]
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
 from functools import cached_property
 
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 from tracehound.functions.decode import decode_url_iter
 from tracehound.operators.detect import detect_all
 from tracehound.operators.rules import RULES, ThresholdRule
-from tracehound.runtime import configure
+from tracehound.runtime import configure, scratch_path
 from tracehound.schema import group_of
 
 # One attack text per regex rule; '~' stands for a backslash, '^' for a single quote.
@@ -153,6 +154,9 @@ def log_rules() -> list:
     ]
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
 class Inputs:
     """The derived tables of one data folder as lazy DataFrames."""
 
@@ -166,13 +170,30 @@ class Inputs:
     def sql(self, text: str) -> DataFrame:
         return self.spark.sql(text, events=self.table("events"))
 
+    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """Derived table, written once per session and data folder to the shared folder.
+
+        Stands for the tables a user of the operators has: raw lines as landed,
+        normalised events, and the alerts that correlation starts from.
+        """
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _STORED:
+            path = scratch_path(self.spark, f"querybook-{name}")
+            df = build()
+            width = self.spark.sparkContext.defaultParallelism
+            if df.rdd.getNumPartitions() < width:
+                df = df.repartition(width)
+            df.write.parquet(path)
+            _STORED[key] = path
+        return self.spark.read.parquet(_STORED[key])
+
     @cached_property
     def log(self) -> DataFrame:
-        return self.sql(LOG_SQL)
+        return self.stored("log", lambda: self.sql(LOG_SQL))
 
     @cached_property
     def lines_wide(self) -> DataFrame:
-        return self.sql(LINES_SQL)
+        return self.stored("lines", lambda: self.sql(LINES_SQL))
 
     def lines(self, column: str) -> DataFrame:
         return self.lines_wide.select(
@@ -182,7 +203,10 @@ class Inputs:
     @cached_property
     def ev(self) -> DataFrame:
         """Events with the endpoint percent-decoded."""
-        return self.log.select(
+        return self.stored("events", self._events)
+
+    def _events(self) -> DataFrame:
+        return self.sql(LOG_SQL).select(
             "event_seq", F.col("ts").cast("timestamp").alias("ts"), "source", "ip", "method",
             decode_url_iter(F.col("endpoint_raw")).alias("endpoint"), "status_code", "user_agent",
             "raw_line", F.create_map(F.lit("authResult"), F.col("auth_result")).alias("metadata"), "k",
@@ -190,7 +214,8 @@ class Inputs:
 
     @cached_property
     def al(self) -> DataFrame:
-        return detect_all(self.ev, log_rules())
+        """Alerts as correlation input; detection itself is queried without this table."""
+        return self.stored("alerts", lambda: detect_all(self.ev, log_rules()))
 
     @cached_property
     def geo(self) -> DataFrame:

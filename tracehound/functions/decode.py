@@ -68,6 +68,7 @@ def decode_url_iter(col: Column, passes: int = 3) -> Column:
     def step(text: Column, left: int) -> Column:
         if left == 0:
             return text
+        # ``text`` is a bound variable here: naming it often costs nothing
         return F.when(
             F.contains(text, F.lit("%")),
             bind(
@@ -78,7 +79,7 @@ def decode_url_iter(col: Column, passes: int = 3) -> Column:
             ),
         ).otherwise(text)
 
-    return step(col, passes)
+    return F.when(F.contains(col, F.lit("%")), bind(col, lambda t: step(t, passes))).otherwise(col)
 
 
 def _base64_text(token: Column) -> Column:
@@ -136,7 +137,7 @@ def decode_unicode_escapes(col: Column) -> Column:
     return F.when(
         F.contains(col, F.lit("\\")),
         bind(
-            step(col, "\\u", pair + r"|\\u[0-9A-Fa-f]{4}|[^\\]+|\\", wide),
+            bind(col, lambda t: step(t, "\\u", pair + r"|\\u[0-9A-Fa-f]{4}|[^\\]+|\\", wide)),
             lambda t: step(t, "\\x", r"\\x[0-9A-Fa-f]{2}|[^\\]+|\\", narrow),
         ),
     ).otherwise(col)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracehound.operators.scoring import ScoreConfig, successful_attack
+from tracehound.runtime import materialize
 from tracehound.schema import (
     KEY_COLUMNS,
     alert_order,
@@ -129,8 +130,11 @@ def chain_cells(keys: DataFrame, window_seconds: int) -> DataFrame:
 def chain_parts(
     ev: DataFrame, al: DataFrame, window_seconds: int, min_events: int
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Suspicious keys, numbered chains, and the (address, cell) to chain map."""
-    keys = suspicious_keys(ev, al)
+    """Suspicious keys, numbered chains, and the (address, cell) to chain map.
+
+    The keys are materialised: three readers follow, and each would scan the log.
+    """
+    keys = materialize(suspicious_keys(ev, al))
     cells = chain_cells(keys, window_seconds)
     sessions = cells.groupBy("ip_group", "session").agg(
         F.min("start_time").alias("start_time"),

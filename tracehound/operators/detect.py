@@ -165,36 +165,49 @@ def first_crossings(
     )
 
 
-def detect_threshold(
-    ev: DataFrame, rule: ThresholdRule, rule_ordinal: int = 1, salts: int = 8
-) -> DataFrame:
-    """At most one alert per group, on the first event that reaches the threshold."""
+def _fired(ev: DataFrame, rule: ThresholdRule, rule_ordinal: int, salts: int) -> DataFrame:
+    """One narrow row per group that crossed the rule's threshold."""
     matching = ev.where(rule.predicate(ev)).select(
         group_of(F.col(rule.group_by)).alias("grp"), "event_seq", micros(F.col("ts")).alias("t")
     )
-    fired = first_crossings(matching, rule.threshold, rule.window_seconds, salts)
     count, window = F.lit(str(rule.threshold)), F.lit(f"{rule.window_seconds}s")
-    # narrow rows went through the windows; the full event is fetched for the few that fired
+    return first_crossings(matching, rule.threshold, rule.window_seconds, salts).select(
+        F.lit(1).alias("phase"),
+        F.lit(rule_ordinal).alias("rule_ordinal"),
+        F.lit(rule_ordinal).cast("long").alias("ord_major"),
+        F.col("first_seq").alias("ord_minor"),
+        F.lit(rule.rule_id).alias("rule_id"),
+        F.lit(rule.category).alias("category"),
+        F.lit(rule.severity).alias("severity"),
+        threshold_text(rule.description, count, F.col("grp"), window).alias("description"),
+        F.concat(count, F.lit(" events in "), window, F.lit(" window")).alias("matched_pattern"),
+        "event_seq",
+    )
+
+
+def detect_thresholds(
+    ev: DataFrame, rules: Sequence[tuple[int, ThresholdRule]], salts: int = 8
+) -> DataFrame:
+    """At most one alert per rule and group, on the first event that reaches the threshold.
+
+    Only narrow rows go through the windows; the full events are fetched afterwards,
+    once for all rules, for the few that fired.
+    """
+    fired = reduce(DataFrame.unionByName, [_fired(ev, r, i, salts) for i, r in rules])
     return (
         ev.select(*_EVENT_PART)
         .join(fired, "event_seq")
-        .select(
-            F.lit(1).alias("phase"),
-            F.lit(rule_ordinal).alias("rule_ordinal"),
-            F.lit(rule_ordinal).cast("long").alias("ord_major"),
-            F.col("first_seq").alias("ord_minor"),
-            F.lit(rule.rule_id).alias("rule_id"),
-            F.lit(rule.category).alias("category"),
-            F.lit(rule.severity).alias("severity"),
-            threshold_text(rule.description, count, F.col("grp"), window).alias("description"),
-            F.concat(count, F.lit(" events in "), window, F.lit(" window")).alias("matched_pattern"),
-            *_EVENT_PART,
-        )
         .withColumn("ip_group", group_of(F.col("ip")))
         .select(*ALERT_COLUMNS)
     )
 
 
+def detect_threshold(
+    ev: DataFrame, rule: ThresholdRule, rule_ordinal: int = 1, salts: int = 8
+) -> DataFrame:
+    return detect_thresholds(ev, [(rule_ordinal, rule)], salts)
+
+
 def threshold_text(description: str, count: Column, group: Column, window: Column) -> Column:
     return F.concat(
         F.lit(f"{description} ("), count, F.lit(" events from "), group, F.lit(" in "), window, F.lit(")")
@@ -204,7 +217,8 @@ def threshold_text(description: str, count: Column, group: Column, window: Colum
 def detect_all(ev: DataFrame, rules: Sequence[Rule] = RULES, salts: int = 8) -> DataFrame:
     """Regex alerts and threshold alerts of a rule list, ordered by ``alert_order``."""
     parts = [detect_regex(ev, rules)] if regex_rules(rules) else []
-    parts += [detect_threshold(ev, r, i, salts) for i, r in threshold_rules(rules)]
+    windowed = threshold_rules(rules)
+    parts += [detect_thresholds(ev, windowed, salts)] if windowed else []
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -58,11 +59,9 @@ def failed_auth(df: DataFrame) -> Column:
 
 
 def login_request(df: DataFrame) -> Column:
-    endpoint = F.lower(F.col("endpoint"))
-    hit = F.lit(False)
-    for part in LOGIN_ENDPOINTS:
-        hit = hit | F.contains(endpoint, F.lit(part))
-    return F.coalesce(hit, F.lit(False))
+    # one pattern of plain texts: the endpoint may be an expression, so it is named once
+    any_part = "|".join(re.escape(part) for part in LOGIN_ENDPOINTS)
+    return F.coalesce(F.regexp_like(F.lower(F.col("endpoint")), F.lit(any_part)), F.lit(False))
 
 
 SQLI, BRUTE, PATH, XSS, CMDI = (

@@ -79,7 +79,7 @@ def _(x):
 
 
 _GENERIC = ThresholdRule("SCAN", "Recon", "LOW", "Many searches per agent", lambda df: F.contains("endpoint", F.lit("?")),
-                         threshold=25, window_seconds=86400, group_by="user_agent")
+                         threshold=12, window_seconds=86400, group_by="user_agent")
 
 
 @query("detect_threshold_generic", with_ctes(

@@ -44,7 +44,8 @@ _PAYLOAD_CASE = "CASE CAST(k % 30 AS INT) " + " ".join(
 ) + " END"
 
 # A third of the events come from one address, one in 41 has none, and the rest is
-# spread over addresses whose number grows with the data; one user in ten is harmless.
+# spread over addresses whose number grows with the data. One user in ten is harmless,
+# and one in ten fails first and gets in later.
 LOG_SQL = f"""
 SELECT event_seq, ts, ip, source, etype, k, user_id,
   CASE etype WHEN 'error' THEN 'POST' WHEN 'signup' THEN 'POST' ELSE 'GET' END AS method,
@@ -68,7 +69,10 @@ SELECT event_id AS event_seq, user_id, CAST(regexp_extract(props, '[0-9]+', 0) A
     ELSE concat(CASE WHEN user_id % 2 = 0 THEN '203.0.' ELSE '10.1.' END,
       CAST(CAST(floor(user_id / 250) AS INT) AS STRING), '.', CAST(user_id % 250 AS STRING)) END AS ip,
   CASE CAST(event_id % 3 AS INT) WHEN 0 THEN 'nginx' WHEN 1 THEN 'auth' ELSE 'app' END AS source,
-  CASE WHEN user_id % 10 = 7 AND user_id % 3 <> 0 THEN 'view' ELSE event_type END AS etype
+  CASE WHEN user_id % 3 = 0 THEN event_type WHEN user_id % 10 = 7 THEN 'view'
+    WHEN user_id % 10 = 8 AND event_type = 'error' AND ts >= DATE '2024-01-20' THEN 'view'
+    WHEN user_id % 10 = 8 AND event_type = 'signup' AND ts < DATE '2024-01-25' THEN 'view'
+    ELSE event_type END AS etype
 FROM {{events}}) e0) e1
 """
 

@@ -41,7 +41,9 @@ def timeline_alerts(ev: DataFrame, al: DataFrame) -> DataFrame:
     )
 
 
-def timeline_rows(ev: DataFrame, page: int = 1, page_size: int = 100) -> DataFrame:
+def timeline_rows(
+    ev: DataFrame, page: int = 1, page_size: int = 100, top_k_reach: int = TOP_K_REACH
+) -> DataFrame:
     """Events of one page, with their position in time order.
 
     A page near the start is a top-k. A deep page first counts events per minute,
@@ -49,7 +51,7 @@ def timeline_rows(ev: DataFrame, page: int = 1, page_size: int = 100) -> DataFra
     does not grow with the page number.
     """
     start = (page - 1) * page_size
-    if start + page_size <= TOP_K_REACH:
+    if start + page_size <= top_k_reach:
         top = ev.orderBy("ts", "event_seq").limit(start + page_size)
         position = F.row_number().over(Window.orderBy("ts", "event_seq"))
         # the limit bounds this window

@@ -48,7 +48,7 @@ for _i, _rule in enumerate(_RULES, 1):
 def _(x):
     rule = replace(next(r for r in RULES if r.rule_id == "XSS_SCRIPT_TAG"), fields=("raw_line",))
     pages = x.table("pages").select("page_id", F.col("html").alias("raw_line"))
-    return pages.select("page_id", de.rule_match(pages, rule).alias("matched_pattern")).where("matched_pattern is not null")
+    return pages.select("page_id", F.expr(de.rule_match(pages, rule)).alias("matched_pattern")).where("matched_pattern is not null")
 
 
 # ---- detection -----------------------------------------------------------------------

@@ -47,3 +47,8 @@ def captured(match: Column, groups: int) -> Column:
 def leading_int(col: Column) -> Column:
     """Leading integer of a text; text without digits and overflow give NULL."""
     return F.regexp_extract(col, r"^\s*([+-]?\d+)", 1).try_cast("int")
+
+
+def sql_literal(text: str) -> str:
+    """SQL string literal; large expressions are cheaper to build as one SQL text."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"

@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracehound.functions.text import sql_literal
 from tracehound.operators.rules import (
     RULES,
     RegexRule,
@@ -29,22 +30,24 @@ ALERT_COLUMNS = [
 _EVENT_PART = ["event_seq", "ts", "ip", "endpoint", "source", "raw_line"]
 
 
-def rule_field(df: DataFrame, name: str) -> Column:
-    """A rule may name a metadata entry; without one the event column is used."""
+def rule_field(df: DataFrame, name: str) -> str:
+    """SQL of the field a rule looks at.
+
+    A rule may name a metadata entry; without one the event column is used.
+    """
     if name in ("endpoint", "raw_line"):
-        return F.col(name)
-    top = F.col(name).cast("string") if name in df.columns else F.lit(None).cast("string")
+        return name
+    top = f"cast(`{name}` as string)" if name in df.columns else "cast(null as string)"
     if "metadata" not in df.columns:
         return top
-    return F.coalesce(F.nullif(F.col("metadata")[name], F.lit("")), top)
+    return f"coalesce(nullif(metadata[{sql_literal(name)}], ''), {top})"
 
 
-def rule_match(df: DataFrame, rule: RegexRule) -> Column:
-    """Matched text in the first field that matches, else NULL."""
-    found = [
-        F.nullif(F.regexp_extract(rule_field(df, f), rule.regex, 0), F.lit("")) for f in rule.fields
-    ]
-    return F.coalesce(*found)
+def rule_match(df: DataFrame, rule: RegexRule) -> str:
+    """SQL of the matched text in the first field that matches, else NULL."""
+    regex = sql_literal(rule.regex)
+    found = [f"nullif(regexp_extract({rule_field(df, f)}, {regex}, 0), '')" for f in rule.fields]
+    return f"coalesce({', '.join(found)})"
 
 
 def any_rule_guard(df: DataFrame, rules: Sequence[RegexRule]) -> Column:
@@ -61,7 +64,7 @@ def any_rule_guard(df: DataFrame, rules: Sequence[RegexRule]) -> Column:
         for field in rule.fields:
             by_field.setdefault(field, []).append(f"{flag}{rule.pattern})")
     tests = [
-        F.coalesce(F.regexp_like(rule_field(df, f), F.lit("|".join(p))), F.lit(False))
+        F.coalesce(F.regexp_like(F.expr(rule_field(df, f)), F.lit("|".join(p))), F.lit(False))
         for f, p in by_field.items()
     ]
     return reduce(lambda a, b: a | b, tests, F.lit(False))
@@ -71,13 +74,11 @@ def detect_regex(ev: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """Alerts of all regex rules: one scan, at most one alert per rule and event."""
     wanted = regex_rules(rules)
     only = [r for _, r in wanted]
-    hits = F.array(
-        *[F.struct(F.lit(i).alias("rule_ordinal"), rule_match(ev, r).alias("text")) for i, r in wanted]
-    )
+    hits = ", ".join(f"struct({i} as rule_ordinal, {rule_match(ev, r)} as text)" for i, r in wanted)
     about = F.element_at(_rule_texts(rules), F.col("hit.rule_ordinal"))
     return (
         ev.where(any_rule_guard(ev, only))
-        .select(*_EVENT_PART, F.explode(hits).alias("hit"))
+        .select(*_EVENT_PART, F.explode(F.expr(f"array({hits})")).alias("hit"))
         .where(F.col("hit.text").isNotNull())
         .withColumn("rule", about)
         .selectExpr(

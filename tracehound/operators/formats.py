@@ -13,6 +13,7 @@ from tracehound.functions.text import trim_blank
 from tracehound.operators.parse_auth import is_syslog_line, parse_auth_syslog
 from tracehound.operators.parse_json import json_object, parse_json
 from tracehound.operators.parse_web import is_web_line, parse_web_access
+from tracehound.runtime import materialize
 from tracehound.schema import EVENT_COLUMNS
 from tracehound.sources.json_layouts import json_objects
 from tracehound.sources.lines import file_name
@@ -152,9 +153,9 @@ def route_by_format(
 
     ``options`` holds keyword arguments per format, such as the reference time.
     """
-    found = (detect_format(lines, formats) if detected is None else detected).where("format is not null")
-    # one row per file; the optimizer broadcasts it while it is small
-    routed = lines.join(found.select("source_file", "format"), "source_file")
+    # one row per file, needed once per format; the optimizer broadcasts it while it is small
+    found = materialize(detect_format(lines, formats) if detected is None else detected)
+    routed = lines.join(found.where("format is not null").select("source_file", "format"), "source_file")
     parts = [
         parse_as(routed.where(F.col("format") == name).drop("format"), name, formats, (options or {}).get(name))
         for name in formats
@@ -164,12 +165,12 @@ def route_by_format(
 
 def parse_auto(
     lines: DataFrame, fmt: str | None = None, formats: dict[str, LogFormat] = FORMATS,
-    options: dict[str, dict] | None = None,
+    options: dict[str, dict] | None = None, detected: DataFrame | None = None,
 ) -> DataFrame:
     """Events of all files: by detection, or with a forced format."""
     if fmt:
         return parse_as(lines, fmt, formats, (options or {}).get(fmt))
-    return route_by_format(lines, formats, options=options)
+    return route_by_format(lines, formats, detected, options)
 
 
 def split_rejects(ev: DataFrame) -> tuple[DataFrame, DataFrame]:

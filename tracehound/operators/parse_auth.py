@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracehound.functions.text import capture, captured, trim_blank
+from tracehound.functions.text import capture, captured, sql_literal, trim_blank
 from tracehound.schema import EVENT_COLUMNS
 
 # Fixed value: the syslog line format.
@@ -99,46 +100,31 @@ def message_fields(df: DataFrame) -> DataFrame:
         groups = F.when(F.col("_kind") == i, capture(message, k.pattern, n)).otherwise(groups)
     tagged = df.withColumn("_kind", kind).withColumn("_g", groups)
 
-    def pick(value) -> Column:
-        if isinstance(value, int):
-            return F.col("_g")[value]
-        return F.lit(value)
-
-    def by_kind(get, default: Column) -> Column:
-        out = default
+    def by_kind(get: Callable[[MessageKind], int | str | None], default: str = "null") -> str:
+        """SQL of a value that depends on the kind: a group, a text, or nothing."""
+        kinds: dict[int | str, list[str]] = {}
         for i, k in enumerate(MESSAGE_KINDS):
-            out = F.when(F.col("_kind") == i, get(k)).otherwise(out)
-        return out
+            if get(k) is not None:
+                kinds.setdefault(get(k), []).append(str(i))
+        cases = " ".join(
+            f"when _kind in ({', '.join(at)}) then {f'_g[{v}]' if isinstance(v, int) else sql_literal(v)}"
+            for v, at in kinds.items()
+        )
+        return f"case {cases} else {default} end"
 
     extra_names = sorted({n for k in MESSAGE_KINDS for n in k.extra})
-    empty = F.lit("")
-    out = tagged.select(
+    entries = ", ".join(f"'{n}', {by_kind(lambda k, n=n: k.extra.get(n))}" for n in extra_names)
+    status = by_kind(lambda k: None if k.status is None else str(k.status))
+    return tagged.selectExpr(
         *[c for c in tagged.columns if c not in ("_kind", "_g")],
-        by_kind(lambda k: pick(k.ip) if k.ip else empty, empty).alias("ip"),
-        by_kind(lambda k: pick(k.user), empty).alias("user"),
-        by_kind(lambda k: F.lit(k.method), empty).alias("method"),
-        by_kind(lambda k: pick(k.endpoint), empty).alias("endpoint"),
-        by_kind(lambda k: F.lit(k.status).cast("int"), F.lit(None).cast("int")).alias("status_code"),
-        by_kind(lambda k: F.lit(k.level), F.lit("info")).alias("log_level"),
-        F.map_filter(
-            F.create_map(
-                *[
-                    part
-                    for n in extra_names
-                    for part in (
-                        F.lit(n),
-                        by_kind(
-                            lambda k, n=n: pick(k.extra[n]) if n in k.extra else F.lit(None).cast("string"),
-                            F.lit(None).cast("string"),
-                        ),
-                    )
-                ],
-                F.lit("rawMessage"), F.when(F.col("_kind").isNull(), message),
-            ),
-            lambda _, v: v.isNotNull(),
-        ).alias("_extra"),
+        f"{by_kind(lambda k: k.ip, sql_literal(''))} as ip",
+        f"{by_kind(lambda k: k.user, sql_literal(''))} as user",
+        f"{by_kind(lambda k: k.method, sql_literal(''))} as method",
+        f"{by_kind(lambda k: k.endpoint, sql_literal(''))} as endpoint",
+        f"cast({status} as int) as status_code",
+        f"{by_kind(lambda k: k.level, sql_literal('info'))} as log_level",
+        f"map_filter(map({entries}, 'rawMessage', if(_kind is null, message, null)), (k, v) -> v is not null) as _extra",
     )
-    return out
 
 
 def parse_auth_syslog(lines: DataFrame, ref_now: Column | None = None, tz: str = "UTC") -> DataFrame:

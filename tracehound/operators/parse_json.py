@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracehound.functions.decode import DEFAULT_STEPS, Decoder, deobfuscate
-from tracehound.functions.text import bind, leading_int, trim_blank
+from tracehound.functions.text import bind, leading_int, sql_literal, trim_blank
 from tracehound.schema import EVENT_COLUMNS
 
 JSON_SOURCE = "app"
@@ -72,9 +72,10 @@ def canonical_json(text: Column) -> Column:
     return bind(slashes, lambda t: F.when(F.contains(t, F.lit("\\u")), unescape(t)).otherwise(t))
 
 
-def find_field(obj: Column, name: str) -> Column:
-    """First alias with a value that is neither null nor empty."""
-    return F.coalesce(*[F.nullif(obj[a], F.lit("")) for a in FIELD_ALIASES[name]])
+def find_field(obj: str, name: str) -> Column:
+    """First alias with a value that is neither null nor empty; ``obj`` is a column name."""
+    values = [f"nullif({obj}[{sql_literal(a)}], '')" for a in FIELD_ALIASES[name]]
+    return F.expr(f"coalesce({', '.join(values)})")
 
 
 def normalize_level(level: Column) -> Column:
@@ -103,20 +104,22 @@ def parse_ts_iso(text: Column, now: Column | None = None) -> Column:
 
 def json_fields(objects: DataFrame) -> DataFrame:
     """Adds one column ``f_<name>`` per logical field of ``obj``."""
-    return objects.select("*", *[find_field(F.col("obj"), n).alias(f"f_{n}") for n in FIELD_ALIASES])
+    return objects.select("*", *[find_field("obj", n).alias(f"f_{n}") for n in FIELD_ALIASES])
 
 
-def json_metadata(obj: Column, message: Column, raw_endpoint: Column, endpoint: Column) -> Column:
-    """Fields under no alias, the message, and the endpoint as sent when it was encoded."""
-    known = [a for aliases in FIELD_ALIASES.values() for a in aliases]
-    changed = F.coalesce(raw_endpoint != endpoint, F.lit(False))
-    rest = F.map_filter(
-        obj, lambda k, _: ~k.isin(known) & ~(changed & (k == F.lit("rawEndpoint")))
-    )
-    raw = F.when(changed, F.create_map(F.lit("rawEndpoint"), raw_endpoint)).otherwise(
-        F.create_map().cast("map<string,string>")
+def json_metadata(obj: str, message: str, raw_endpoint: str, endpoint: str) -> Column:
+    """Fields under no alias, the message, and the endpoint as sent when it was encoded.
+
+    All arguments are column names.
+    """
+    known = ", ".join(sql_literal(a) for aliases in FIELD_ALIASES.values() for a in aliases)
+    changed = f"coalesce({raw_endpoint} <> {endpoint}, false)"
+    return F.expr(
+        f"""map_concat(
+          map_filter({obj}, (k, v) -> k not in ({known}) and not ({changed} and k = 'rawEndpoint')),
+          map('message', {message}),
+          if({changed}, map('rawEndpoint', {raw_endpoint}), cast(map() as map<string,string>)))"""
     )
-    return F.map_concat(rest, F.create_map(F.lit("message"), message), raw)
 
 
 def parse_json(
@@ -126,8 +129,10 @@ def parse_json(
     text = objects.withColumn("line", trim_blank(F.col("line")))
     found = json_fields(text.withColumn("obj", json_object(F.col("line"))).where("obj is not null"))
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
-    decoded = found.withColumn("raw_endpoint", blank("f_endpoint")).withColumn(
-        "endpoint", deobfuscate(F.col("raw_endpoint"), steps)
+    decoded = (
+        found.withColumn("raw_endpoint", blank("f_endpoint"))
+        .withColumn("message", blank("f_message"))
+        .withColumn("endpoint", deobfuscate(F.col("raw_endpoint"), steps))
     )
     return decoded.select(
         "event_seq", parse_ts_iso(F.col("f_timestamp"), now).alias("ts"),
@@ -137,7 +142,5 @@ def parse_json(
         normalize_level(F.col("f_level")).alias("log_level"), F.lit("").alias("user_agent"),
         blank("f_user").alias("user"), canonical_json(F.col("line")).alias("raw_line"),
         F.col("line_number").cast("int").alias("line_number"),
-        json_metadata(F.col("obj"), blank("f_message"), F.col("raw_endpoint"), F.col("endpoint")).alias(
-            "metadata"
-        ),
+        json_metadata("obj", "message", "raw_endpoint", "endpoint").alias("metadata"),
     ).select(*EVENT_COLUMNS)

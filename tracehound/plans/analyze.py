@@ -73,13 +73,14 @@ def analyze_files(
     """The same from log files, with one row per file on how it was read."""
     opt = options or Options()
     lines = scan_log_lines(spark, path)
-    events = materialize(parse_auto(lines, fmt, opt.formats, opt.parse))
-    tables = analyze(events, opt)
-    detected = detect_format(lines, opt.formats)
     if fmt:
-        detected = detected.select(
+        detected = lines.select("source_file").distinct().select(
             "source_file", F.lit(fmt).alias("format"), F.lit(100).alias("confidence"),
             F.lit(None).cast("string").alias("error"),
         )
+    else:
+        detected = materialize(detect_format(lines, opt.formats))
+    events = materialize(parse_auto(lines, fmt, opt.formats, opt.parse, detected))
+    tables = analyze(events, opt)
     tables["files"] = file_parse_report(detected, events)
     return tables

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracehound.operators.parse_json import json_object
+from tracehound.runtime import materialize
 
 # Fixed value: share of lines that must be objects for a file of one object per line.
 NDJSON_SHARE = 0.5
@@ -26,54 +27,43 @@ def json_layout(lines: DataFrame) -> DataFrame:
     )
 
 
-def _previous_end(lines: DataFrame) -> DataFrame:
-    """Adds the last character of the non-blank line before, across line blocks.
-
-    Lines are compared inside blocks of fixed size, and each block hands its last
-    character to the next one, so a huge file is not ordered in one task.
-    """
-    blocks = lines.withColumn("_b", F.floor(F.col("line_number") / _BLOCK_LINES)).withColumn(
-        "_end", F.expr("right(line, 1)")
-    )
-    inside = Window.partitionBy("source_file", "_b").orderBy("line_number")
-    last = blocks.groupBy("source_file", "_b").agg(F.max_by("_end", "line_number").alias("_end"))
-    carried = last.select(
-        "source_file", "_b",
-        F.lag("_end").over(Window.partitionBy("source_file").orderBy("_b")).alias("_carry"),
-    )
-    return (
-        blocks.withColumn("_prev", F.lag("_end").over(inside))
-        .join(carried, ["source_file", "_b"])
-        .withColumn("_prev", F.coalesce("_prev", "_carry"))
-    )
-
-
 def split_objects(lines: DataFrame) -> DataFrame:
     """Pretty-printed objects put back together, one per row.
 
     In valid JSON a line that opens with a brace right after a line that ends with one
-    can only be the next top-level object. The start line of each object is carried
-    over blocks of lines like the characters above.
+    can only be the next top-level object. Lines are compared inside blocks of fixed
+    size, so a huge file is not ordered in one task; what a block needs to know of the
+    ones before it (the last character, the object still open) comes from a table with
+    one row per block.
     """
-    marked = _previous_end(lines).withColumn(
-        "_start",
-        F.when(
-            F.startswith("line", F.lit("{")) & F.coalesce(F.col("_prev") == "}", F.lit(True)),
-            F.col("line_number"),
-        ),
+    block = ["source_file", "_block"]
+    inside = Window.partitionBy(*block).orderBy("line_number")
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = (
+        lines.withColumn("_block", F.floor(F.col("line_number") / _BLOCK_LINES))
+        .withColumn("_end", F.expr("right(line, 1)"))
+        .withColumn("_brace", F.startswith("line", F.lit("{")))
+        .withColumn("_prev", F.lag("_end").over(inside))
+        .withColumn("_start", F.when(F.col("_brace") & (F.col("_prev") == "}"), F.col("line_number")))
     )
-    upto = Window.partitionBy("source_file", "_b").orderBy("line_number").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    blocks = marked.groupBy(*block).agg(
+        F.max_by("_end", "line_number").alias("_last_end"),
+        F.max("_start").alias("_last_start"),
+        F.min("line_number").alias("_first"),
+        F.min_by("_brace", "line_number").alias("_first_brace"),
     )
-    before = Window.partitionBy("source_file").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    of_file = Window.partitionBy("source_file").orderBy("_block")
+    before = of_file.rowsBetween(Window.unboundedPreceding, -1)
+    after_object = F.coalesce(F.lag("_last_end").over(of_file) == "}", F.lit(True))
     carried = (
-        marked.groupBy("source_file", "_b").agg(F.max("_start").alias("_last"))
-        .select("source_file", "_b", F.max("_last").over(before).alias("_open"))
+        blocks.withColumn("_first_start", F.when(F.col("_first_brace") & after_object, F.col("_first")))
+        .withColumn("_open", F.max(F.coalesce("_last_start", "_first_start")).over(before))
+        .select(*block, "_first_start", "_open")
     )
     return (
         marked.withColumn("_in_block", F.max("_start").over(upto))
-        .join(carried, ["source_file", "_b"])
-        .withColumn("_object", F.coalesce("_in_block", "_open"))
+        .join(carried, block)
+        .withColumn("_object", F.coalesce("_in_block", "_first_start", "_open"))
         .where("_object is not null")
         .groupBy("source_file", F.col("_object").alias("line_number"))
         # one object, not one file
@@ -109,7 +99,8 @@ def split_array(lines: DataFrame) -> DataFrame:
 
 def json_objects(lines: DataFrame) -> DataFrame:
     """One JSON object per row from numbered lines of any of the three layouts."""
-    routed = lines.join(json_layout(lines), "source_file")
+    # one row per file, needed once per layout
+    routed = lines.join(materialize(json_layout(lines)), "source_file")
 
     def of(layout: str) -> DataFrame:
         return routed.where(F.col("layout") == layout).drop("layout")

@@ -1,3 +1,3 @@
 """All queries."""
 
-from querybook import detection, parsing, reporting  # noqa: F401
+from querybook import detection, parsing, reporting, streams  # noqa: F401

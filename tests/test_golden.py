@@ -61,7 +61,7 @@ def test_alert_counts(run, name, tz, events, severities, cats):
 
 def test_alert_rows(run):
     rows = {
-        (r["rule_id"], r["matched_pattern"], r["ip"], r["event_seq"] & 0xFFFFFFFF)
+        (r["rule_id"], r["matched_pattern"], r["ip"], r["event_seq"])
         for name in ("auth", "nginx")
         for r in run(name)["alerts"].collect()
     }

@@ -104,11 +104,12 @@ def _rule_texts(rules: Sequence[Rule]) -> Column:
 
 
 def first_crossings(
-    events: DataFrame, threshold: int, window_seconds: int, salts: int = 8
+    events: DataFrame, threshold: int, window_seconds: int, salts: int = 8, by: Sequence[str] = ("grp",)
 ) -> DataFrame:
     """First event of each group that completes ``threshold`` events in the window.
 
-    Input: ``grp, event_seq, t`` (microseconds). Output: ``grp, event_seq, first_seq``.
+    Input: the ``by`` columns, ``event_seq, t`` (microseconds). Output: the ``by``
+    columns, ``event_seq, first_seq``.
 
     Event i crosses exactly when the event ``threshold - 1`` places before it, in
     (time, input order), is at most the window away. Time is cut into cells one
@@ -135,10 +136,10 @@ def first_crossings(
         )
 
     if salts > 1:
-        cells = keep_ends(cells, "grp", "cell", F.pmod(F.col("event_seq"), F.lit(salts)))
-    ends = keep_ends(cells, "grp", "cell")
+        cells = keep_ends(cells, *by, "cell", F.pmod(F.col("event_seq"), F.lit(salts)))
+    ends = keep_ends(cells, *by, "cell")
     placed = ends.select(
-        "grp", "event_seq", "t", "first_seq",
+        *by, "event_seq", "t", "first_seq",
         F.explode(
             F.array(
                 F.struct(F.col("cell"), F.col("head").alias("own")),
@@ -147,8 +148,8 @@ def first_crossings(
                 ),
             )
         ).alias("p"),
-    ).where("p.cell is not null").select("grp", "event_seq", "t", "first_seq", "p.cell", "p.own")
-    in_cell = Window.partitionBy("grp", "cell").orderBy("t", "event_seq")
+    ).where("p.cell is not null").select(*by, "event_seq", "t", "first_seq", "p.cell", "p.own")
+    in_cell = Window.partitionBy(*by, "cell").orderBy("t", "event_seq")
     before = F.lag("t", need).over(in_cell) if need > 0 else F.col("t")
     return (
         placed.withColumn("before", before)
@@ -159,20 +160,23 @@ def first_crossings(
                 F.struct("t", "event_seq"),
             ),
         )
-        .groupBy("grp")
+        .groupBy(*by)
         .agg(F.min("crossing").alias("crossing"), F.min("first_seq").alias("first_seq"))
         .where("crossing is not null")
-        .select("grp", F.col("crossing.event_seq").alias("event_seq"), "first_seq")
+        .select(*by, F.col("crossing.event_seq").alias("event_seq"), "first_seq")
     )
 
 
-def _fired(ev: DataFrame, rule: ThresholdRule, rule_ordinal: int, salts: int) -> DataFrame:
+def _fired(
+    ev: DataFrame, rule: ThresholdRule, rule_ordinal: int, salts: int, scope: Sequence[str]
+) -> DataFrame:
     """One narrow row per group that crossed the rule's threshold."""
     matching = ev.where(rule.predicate(ev)).select(
-        group_of(F.col(rule.group_by)).alias("grp"), "event_seq", micros(F.col("ts")).alias("t")
+        *scope, group_of(F.col(rule.group_by)).alias("grp"), "event_seq", micros(F.col("ts")).alias("t")
     )
     count, window = F.lit(str(rule.threshold)), F.lit(f"{rule.window_seconds}s")
-    return first_crossings(matching, rule.threshold, rule.window_seconds, salts).select(
+    by = ("grp", *scope)
+    return first_crossings(matching, rule.threshold, rule.window_seconds, salts, by).select(
         F.lit(1).alias("phase"),
         F.lit(rule_ordinal).alias("rule_ordinal"),
         F.lit(rule_ordinal).cast("long").alias("ord_major"),
@@ -187,14 +191,15 @@ def _fired(ev: DataFrame, rule: ThresholdRule, rule_ordinal: int, salts: int) ->
 
 
 def detect_thresholds(
-    ev: DataFrame, rules: Sequence[tuple[int, ThresholdRule]], salts: int = 8
+    ev: DataFrame, rules: Sequence[tuple[int, ThresholdRule]], salts: int = 8, scope: Sequence[str] = ()
 ) -> DataFrame:
     """At most one alert per rule and group, on the first event that reaches the threshold.
 
+    ``scope`` names columns that keep events apart, such as the file they came from.
     Only narrow rows go through the windows; the full events are fetched afterwards,
     once for all rules, for the few that fired.
     """
-    fired = reduce(DataFrame.unionByName, [_fired(ev, r, i, salts) for i, r in rules])
+    fired = reduce(DataFrame.unionByName, [_fired(ev, r, i, salts, scope) for i, r in rules])
     return (
         ev.select(*_EVENT_PART)
         .join(fired, "event_seq")
@@ -215,11 +220,13 @@ def threshold_text(description: str, count: Column, group: Column, window: Colum
     )
 
 
-def detect_all(ev: DataFrame, rules: Sequence[Rule] = RULES, salts: int = 8) -> DataFrame:
+def detect_all(
+    ev: DataFrame, rules: Sequence[Rule] = RULES, salts: int = 8, scope: Sequence[str] = ()
+) -> DataFrame:
     """Regex alerts and threshold alerts of a rule list, ordered by ``alert_order``."""
     parts = [detect_regex(ev, rules)] if regex_rules(rules) else []
     windowed = threshold_rules(rules)
-    parts += [detect_thresholds(ev, windowed, salts)] if windowed else []
+    parts += [detect_thresholds(ev, windowed, salts, scope)] if windowed else []
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -11,55 +11,54 @@ from tracehound.functions.text import trim_blank
 # Fixed value: file types that count as logs.
 ALLOWED_EXTENSIONS = [".log", ".json", ".txt", ".csv"]
 
-_INDEX_BITS = 33
-# event_seq = file number, then line number: room for 2^40 lines in each of 2^22 files
-_LINE_BITS = 40
-
-
 def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
-def _blocks(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Every physical line with its file, the block it was read from and its place."""
-    return spark.read.text(path, lineSep="\n").select(
+def raw_text(reader, path: str | list[str]) -> DataFrame:
+    """Physical lines of text files with their file and the block they are read from.
+
+    ``reader`` is ``spark.read`` or ``spark.readStream``.
+    """
+    return reader.text(path, lineSep="\n").select(
         F.col("value").alias("text"),
         F.col("_metadata.file_path").alias("source_file"),
         F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_pos"),
     )
 
 
-def scan_log_lines(spark: SparkSession, path: str | list[str], keep_blank: bool = False) -> DataFrame:
-    """``event_seq, source_file, line_number, line`` of text files of any size.
+def number_lines(text: DataFrame, seq_base: int | None = None, keep_blank: bool = False) -> DataFrame:
+    """``event_seq, source_file, line_number, line`` from ``raw_text`` rows.
 
     Files stay splittable: each block numbers its own lines by their place in the task
-    that reads it, and the line counts of the earlier blocks of the file are added.
-    Only one row per block goes through a window. ``event_seq`` follows file name and
-    line number. Lines are trimmed, blank ones dropped.
+    that reads it, and the line counts of the earlier blocks are added. Only one row
+    per block goes through a window. Sequence numbers follow file name and line number.
     """
-    lines = _blocks(spark, path)
+    lines = text.withColumn("_pos", F.monotonically_increasing_id())
     per_block = lines.groupBy("source_file", "_block").agg(
         F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n")
     )
-    earlier = Window.partitionBy("source_file").orderBy("_block").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    files = per_block.select("source_file").distinct().select(
-        "source_file", F.row_number().over(Window.orderBy("source_file")).alias("_file_no")
-    )
+    in_file = Window.partitionBy("source_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    overall = Window.orderBy("source_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_block.select(
-        "source_file", "_block", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off")
-    ).join(files, "source_file")
-    numbered = lines.join(offsets, ["source_file", "_block"])
-    line_number = F.col("_off") + F.col("_pos") - F.col("_first") + 1
-    out = numbered.select(
-        (F.shiftleft(F.col("_file_no").cast("long"), _LINE_BITS) + line_number).alias("event_seq"),
-        "source_file", line_number.alias("line_number"), trim_blank(F.col("text")).alias("line"),
+        "source_file", "_block", "_first",
+        F.coalesce(F.sum("_n").over(in_file), F.lit(0)).alias("_off"),
+        # one row per block of input, a few bytes each
+        F.coalesce(F.sum("_n").over(overall), F.lit(0)).alias("_seq"),
+    )
+    place = F.col("_pos") - F.col("_first") + 1
+    out = lines.join(offsets, ["source_file", "_block"]).select(
+        (F.lit(seq_base or 0).cast("long") + F.col("_seq") + place).alias("event_seq"),
+        "source_file", (F.col("_off") + place).alias("line_number"), trim_blank(F.col("text")).alias("line"),
     )
     return out if keep_blank else out.where("line <> ''")
 
 
+def scan_log_lines(spark: SparkSession, path: str | list[str], keep_blank: bool = False) -> DataFrame:
+    """Numbered, trimmed lines of text files of any size; blank lines are dropped."""
+    return number_lines(raw_text(spark.read, path), keep_blank=keep_blank)
+
+
 def file_catalog(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Per log file: size, lines, preview. Files with other extensions are left out."""
     name = F.lower(file_name(F.col("source_file")))

@@ -200,3 +200,23 @@ def test_chain_gap_is_inclusive(spark):
 
     assert count(300) == 1
     assert count(301) == 0
+
+
+def test_needed_words_are_necessary():
+    """Whatever a pattern matches contains one of the word pairs that guard the rule."""
+    import re
+
+    rnd = random.Random(3)
+    pieces = list(TEXTS.values()) + [" ", "=", "'", ";", "--", "or", "OR\t1=1", "nc\t-l", "bash  -i >", "WAITFOR DELAY(", "ſcript", "../", "..\\"]
+    rules = [r for _, r in regex_rules() if r.needs]
+    assert len(rules) == 25
+    checked = 0
+    for _ in range(20000):
+        text = "".join(rnd.sample(pieces, 3))
+        text = "".join(rnd.choice([c.upper(), c.lower()]) for c in text)
+        lowered = text.lower()
+        for r in rules:
+            if re.search(r.pattern, text, re.ASCII | (re.IGNORECASE if r.ignore_case else 0)):
+                checked += 1
+                assert any(a in lowered and b in lowered for a, b in r.needs), (r.rule_id, text)
+    assert checked > 1000

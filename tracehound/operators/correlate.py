@@ -20,6 +20,8 @@ from tracehound.operators.scoring import (
 from tracehound.schema import (
     UNKNOWN_PATTERN_WEIGHT,
     alert_order,
+    first_event_order,
+    first_event_seq,
     group_of,
     severity_weight,
 )
@@ -127,7 +129,7 @@ def ip_stats(ev: DataFrame, al: DataFrame, patterns: Sequence[Pattern] = PATTERN
         F.count(F.lit(1)).alias("total_requests"),
         F.min("ts").alias("first_seen"),
         F.max("ts").alias("last_seen"),
-        F.min(F.struct("ts", "event_seq")).alias("first_event"),
+        first_event_order().alias("first_event"),
         F.count_distinct("source").alias("source_count"),
         F.count_if(successful_attack()).alias("n_success"),
         *[make().alias(name) for name, make in counters.items()],
@@ -193,12 +195,13 @@ def attacker_endpoints(ev: DataFrame, al: DataFrame) -> DataFrame:
         .groupBy(group_of(F.col("ip")).alias("ip_group"), "endpoint")
         .agg(
             F.count(F.lit(1)).alias("request_count"),
-            F.min(F.struct("ts", "event_seq")).alias("first_event"),
+            F.min("ts").alias("first_ts"),
+            first_event_order().alias("first_event"),
         )
         .join(suspect_ips(al), "ip_group", "left_semi")
         .select(
-            F.col("ip_group").alias("ip"), "endpoint", "request_count",
-            F.col("first_event.ts").alias("first_ts"), F.col("first_event.event_seq").alias("first_seq"),
+            F.col("ip_group").alias("ip"), "endpoint", "request_count", "first_ts",
+            first_event_seq(F.col("first_ts"), F.col("first_event")).alias("first_seq"),
         )
     )
 
@@ -208,11 +211,11 @@ def attacker_user_agents(ev: DataFrame, al: DataFrame) -> DataFrame:
     return (
         ev.where("user_agent <> ''")
         .groupBy(group_of(F.col("ip")).alias("ip_group"), "user_agent")
-        .agg(F.min(F.struct("ts", "event_seq")).alias("first_event"))
+        .agg(F.min("ts").alias("first_ts"), first_event_order().alias("first_event"))
         .join(suspect_ips(al), "ip_group", "left_semi")
         .select(
-            F.col("ip_group").alias("ip"), "user_agent",
-            F.col("first_event.ts").alias("first_ts"), F.col("first_event.event_seq").alias("first_seq"),
+            F.col("ip_group").alias("ip"), "user_agent", "first_ts",
+            first_event_seq(F.col("first_ts"), F.col("first_event")).alias("first_seq"),
         )
     )
 
@@ -244,7 +247,7 @@ def attacker_profile(
         F.col("ip_group").alias("ip"),
         F.least(_score(patterns, config), F.lit(config.max_score)).cast("int").alias("threat_score"),
         "total_requests", "alert_count", "source_count", "first_seen", "last_seen",
-        F.col("first_event.event_seq").alias("first_seq"),
+        first_event_seq(F.col("first_seen"), F.col("first_event")).alias("first_seq"),
     )
     # distinct pairs were made with both columns as key, so the count per address is cheap
     endpoints = attacker_endpoints(ev, al).groupBy("ip").agg(F.count(F.lit(1)).alias("endpoint_count"))

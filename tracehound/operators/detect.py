@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracehound.functions.text import sql_literal
+from tracehound.functions.text import bind, sql_literal
 from tracehound.operators.rules import (
     RULES,
     RegexRule,
@@ -51,25 +51,47 @@ def rule_match(df: DataFrame, rule: RegexRule) -> str:
 
 
 def any_rule_guard(df: DataFrame, rules: Sequence[RegexRule]) -> Column:
-    """One pass per field that tells whether any rule can match.
+    """Whether any rule can match, cheap for the harmless lines that make up most logs.
 
-    Most log lines are harmless; this test spares them the per-rule extraction.
-    Patterns with group references cannot be joined into one and switch it off.
+    Plain word search settles nearly all of them; the patterns of rules without words
+    are tried as one. What passes is decided by the patterns themselves.
     """
-    by_field: dict[str, list[str]] = {}
-    for rule in rules:
-        if re.search(r"\\[1-9]|\\k<|\(\?<[A-Za-z]", rule.pattern):
-            return F.lit(True)
-        flag = "(?i:" if rule.ignore_case else "(?:"
-        for field in rule.fields:
-            by_field.setdefault(field, []).append(f"{flag}{rule.pattern})")
-    tests = [
-        F.coalesce(F.regexp_like(F.expr(rule_field(df, f)), F.lit("|".join(p))), F.lit(False))
-        for f, p in by_field.items()
-    ]
+    tests = []
+    for field in dict.fromkeys(f for r in rules for f in r.fields):
+        mine = [r for r in rules if field in r.fields]
+        text = F.expr(rule_field(df, field))
+        words: dict[str, list[str]] = {}
+        for word, also in dict.fromkeys(n for r in mine for n in r.needs):
+            # words that need the same companion are looked for once it is there
+            words.setdefault(also or word, []).append(word)
+        if words:
+            rows = ", ".join(
+                f"struct({sql_literal(a)} as a, array({', '.join(map(sql_literal, more))}) as more)"
+                for a, more in words.items()
+            )
+            # a loop over a constant list: written out it makes a method too large for the JIT
+            found = bind(
+                F.lower(text),
+                lambda t, rows=rows: F.exists(
+                    F.expr(f"array({rows})"),
+                    lambda n: F.contains(t, n["a"]) & F.exists(n["more"], lambda w: F.contains(t, w)),
+                ),
+            )
+            tests.append(F.coalesce(found, F.lit(False)))
+        for pattern in _joined([r for r in mine if not r.needs]):
+            tests.append(F.coalesce(F.regexp_like(text, F.lit(pattern)), F.lit(False)))
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
+def _joined(rules: Sequence[RegexRule]) -> list[str]:
+    """One alternation for all rules; patterns with group references stay on their own."""
+    alone = [r.regex for r in rules if re.search(r"\\[1-9]|\\k<|\(\?<[A-Za-z]", r.pattern)]
+    together = [
+        f"(?i:{r.pattern})" if r.ignore_case else f"(?:{r.pattern})" for r in rules if r.regex not in alone
+    ]
+    return alone + (["|".join(together)] if together else [])
+
+
 def detect_regex(ev: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """Alerts of all regex rules: one scan, at most one alert per rule and event."""
     wanted = regex_rules(rules)

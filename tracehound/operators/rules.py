@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +12,12 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class RegexRule:
-    """A pattern looked for in the named fields, in order."""
+    """A pattern looked for in the named fields, in order.
+
+    ``needs`` makes the rule cheap on harmless text: pairs of lower-case words, one
+    pair of which must be part of any text the pattern matches. A rule without it is
+    always tried.
+    """
 
     rule_id: str
     category: str
@@ -21,6 +26,7 @@ class RegexRule:
     pattern: str
     ignore_case: bool = True
     fields: tuple[str, ...] = ("endpoint", "raw_line")
+    needs: tuple[tuple[str, str], ...] = ()
 
     @property
     def regex(self) -> str:
@@ -64,12 +70,54 @@ def login_request(df: DataFrame) -> Column:
     return F.coalesce(F.regexp_like(F.lower(F.col("endpoint")), F.lit(any_part)), F.lit(False))
 
 
+def _all_of(*words: str, also: str = "") -> tuple[tuple[str, str], ...]:
+    return tuple((w, also) for w in words)
+
+
+_SPACES = (" ", "\t", "\n", "\x0b", "\f", "\r")
+
+# Words without which a pattern cannot match; see ``RegexRule.needs``.
+NEEDS: dict[str, tuple[tuple[str, str], ...]] = {
+    "SQLI_UNION_SELECT": _all_of("union", also="select"),
+    "SQLI_TAUTOLOGY": _all_of(*[f"or{s}" for s in _SPACES], also="="),
+    "SQLI_DROP_TABLE": _all_of("drop", also="table"),
+    "SQLI_INSERT_INTO": _all_of("insert", also="into"),
+    "SQLI_DELETE_FROM": _all_of("delete", also="from"),
+    "SQLI_COMMENT_BYPASS": _all_of(";", also="--"),
+    "SQLI_SLEEP_BENCHMARK": _all_of("sleep", "benchmark", "waitfor", also="("),
+    "SQLI_INFORMATION_SCHEMA": _all_of("information_schema"),
+    "SQLI_CONCAT_HEX": _all_of("concat", "char", "hex", "load_file", also="("),
+    "BRUTE_FORCE_MAX_ATTEMPTS": _all_of("maximum authentication attempts exceeded"),
+    "PATH_TRAVERSAL_DOTDOT": _all_of("../", "..\\"),
+    "PATH_TRAVERSAL_ETC_PASSWD": _all_of("/etc/"),
+    "PATH_TRAVERSAL_PROC": _all_of("/proc/"),
+    "PATH_TRAVERSAL_WIN": _all_of("boot.ini", "win.ini", "system32", "windows\\system"),
+    "PATH_TRAVERSAL_SENSITIVE_FILES": _all_of(
+        ".env", ".htaccess", ".htpasswd", ".git/config", ".ssh/", ".id_rsa", ".authorized_keys"
+    ),
+    "XSS_SCRIPT_TAG": _all_of("script", also="<"),
+    "XSS_EVENT_HANDLER": _all_of(
+        "onerror", "onload", "onclick", "onmouseover", "onfocus", "onblur", "onsubmit", "onchange", also="="
+    ),
+    "XSS_JAVASCRIPT_URI": _all_of("javascript", also=":"),
+    "XSS_IMG_TAG": _all_of("img", also="<"),
+    "XSS_SVG_TAG": _all_of("svg", also="<"),
+    "XSS_DATA_URI": _all_of("text/html", also="data"),
+    "CMDI_PIPE": _all_of("|"),
+    "CMDI_BACKTICK": _all_of("`"),
+    "CMDI_DOLLAR_PAREN": _all_of("$("),
+    "CMDI_REVERSE_SHELL": (
+        *_all_of("/dev/tcp/", "mkfifo"), ("bash", "-i"), ("/bin/sh", "-i"),
+        *_all_of("-e", "-l", "-p", also="nc"),
+    ),
+}
+
 SQLI, BRUTE, PATH, XSS, CMDI = (
     "SQL Injection", "Brute Force", "Path Traversal", "XSS", "Command Injection",
 )
 
 # Rule ids, categories, severities, texts and patterns, in rule order.
-RULES: list[Rule] = [
+_RULES: list[Rule] = [
     RegexRule("SQLI_UNION_SELECT", SQLI, "CRITICAL",
               "UNION SELECT injection — attempts to extract data from other tables",
               r"\bUNION\b[\s/\*]+\bSELECT\b"),
@@ -157,6 +205,11 @@ RULES: list[Rule] = [
 ]
 
 
+RULES: list[Rule] = [
+    replace(r, needs=NEEDS.get(r.rule_id, ())) if isinstance(r, RegexRule) else r for r in _RULES
+]
+
+
 def regex_rules(rules: Sequence[Rule] = RULES) -> list[tuple[int, RegexRule]]:
     return [(i, r) for i, r in enumerate(rules, 1) if isinstance(r, RegexRule)]
 

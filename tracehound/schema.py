@@ -80,6 +80,25 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
+_SEQ_SPACE = str(10**19)  # more than the largest sequence number
+
+
+def first_event_order() -> Column:
+    """Aggregate: earliest event by (time, input order) as one decimal.
+
+    A minimum over a struct makes Spark sort all rows before it aggregates; over a
+    decimal it stays a hash aggregate.
+    """
+    wide = micros(F.col("ts")).cast("decimal(38,0)") * F.lit(_SEQ_SPACE).cast("decimal(20,0)")
+    return F.min(wide + F.col("event_seq"))
+
+
+def first_event_seq(first_seen: Column, order: Column) -> Column:
+    """Sequence number inside ``first_event_order``, given the time that belongs to it."""
+    base = micros(first_seen).cast("decimal(38,0)") * F.lit(_SEQ_SPACE).cast("decimal(20,0)")
+    return (order - base).cast("long")
+
+
 def alert_order() -> Column:
     """Sortable identity of an alert.
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querybook.book import query
 from querybook.inputs import CHAIN_WINDOW, Inputs, log_rules
-from querybook.oracle import PREDICATES, threshold_alerts, with_ctes
+from querybook.oracle import threshold_alerts, with_ctes
 from querybook.parsing import _WEB_ENDPOINT, _WEB_IP, _WEB_OK, _URL, sql_base64, sql_html
 from tracehound.operators.rules import ThresholdRule
 from tracehound.runtime import scratch_path
@@ -15,7 +17,6 @@ from tracehound.streaming import live, stateful
 
 _RULES = log_rules()
 _LOGIN_NO, _LOGIN = next((i, r) for i, r in enumerate(_RULES, 1) if isinstance(r, ThresholdRule))
-assert PREDICATES
 
 
 def landed(x: Inputs) -> str:
@@ -107,31 +108,37 @@ def _(x):
     return live.stream_latest(run_live(x)[0], 100).select("ts", "ip", "endpoint")
 
 
-def _event_stream(x: Inputs) -> DataFrame:
-    """The stored events as a stream in time order, one file per batch."""
-    path = scratch_path(x.spark, "event-stream")
-    ordered = x.ev.withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    ordered.repartitionByRange(4, "ts", "event_seq").sortWithinPartitions("ts", "event_seq").write.parquet(path)
-    return x.spark.readStream.schema(ordered.schema).option("maxFilesPerTrigger", 1).parquet(path)
+# Days of the month that arrive together; each part is one batch, in time order.
+_PARTS = [(1, 8), (9, 16), (17, 24), (25, 31)]
 
 
-def _drain(x: Inputs, df: DataFrame, name: str) -> DataFrame:
-    out = scratch_path(x.spark, name)
-    q = (
-        df.writeStream.format("parquet").option("path", out)
-        .option("checkpointLocation", scratch_path(x.spark, "offsets")).outputMode("append")
-        .trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
-    return x.spark.read.schema(df.schema).parquet(out)
+def _run_in_parts(x: Inputs, make: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """Land the stored events part by part and run the same stream after each.
+
+    Offsets and state live in one checkpoint, so later parts meet the state of the
+    earlier ones, and the order does not hang on file times.
+    """
+    source, out = scratch_path(x.spark, "event-stream"), scratch_path(x.spark, name)
+    offsets = scratch_path(x.spark, "offsets")
+    result = None
+    for first, last in _PARTS:
+        x.ev.where(F.dayofmonth("ts").between(first, last)).write.mode("append").parquet(source)
+        result = make(x.spark.readStream.schema(x.ev.schema).parquet(source))
+        q = (
+            result.writeStream.format("parquet").option("path", out)
+            .option("checkpointLocation", offsets).outputMode("append")
+            .trigger(availableNow=True).start()
+        )
+        q.awaitTermination()
+    return x.spark.read.schema(result.schema).parquet(out)
 
 
 @query("stream_threshold_stateful", with_ctes(
     f"SELECT ip_group AS grp, event_seq, ts FROM ({threshold_alerts(_LOGIN, _LOGIN_NO)}) t", "ev"))
 def _(x):
-    return _drain(x, stateful.stream_threshold(_event_stream(x), _LOGIN, "1 hour"), "stateful")
+    return _run_in_parts(x, lambda ev: stateful.stream_threshold(ev, _LOGIN, "1 hour"), "stateful")
 
 
 @query("stream_chains")
 def _(x):
-    return _drain(x, stateful.stream_chains(_event_stream(x), CHAIN_WINDOW, watermark="1 hour"), "chains")
+    return _run_in_parts(x, lambda ev: stateful.stream_chains(ev, CHAIN_WINDOW, watermark="1 hour"), "chains")

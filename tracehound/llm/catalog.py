@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from tracehound.llm import licenses  # noqa: F401  registers its query
+from tracehound.llm import fertility, licenses, secrets, toxicity  # noqa: F401  register their queries
 from tracehound.llm.common import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -45,8 +45,8 @@ TEMPLATES = [
     ("mit", "This work is licensed under the MIT License."),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("cc-by", "This work is licensed under CC BY"),
-    ("cc-by-nc", "This work is licensed under CC BY-NC"),
-    ("cc-by-sa", "This work is licensed under CC BY-SA"),
+    ("cc-by-nc", "Licensed under CC BY-NC"),
+    ("cc-by-sa", "Licensed under CC BY-SA"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),

@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from tracehound.llm import chat, chosen_path, decontaminate, fertility, licenses, mixing, secrets, toxicity  # noqa: F401  register their queries
+from tracehound.llm import chat, chosen_path, decontaminate, fertility, licenses, mixing, repeats, secrets, toxicity  # noqa: F401  register their queries
 from tracehound.llm.common import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -11,7 +11,8 @@ it is split is dense, its classes really are alike: it is searched by brute forc
 of blocks, so no task holds more than two blocks. Runs are repeated until a pair at the
 threshold has met with the target probability, given the deepest node seen.
 
-Brute force counts exact Jaccard similarities on the shingles of the texts. A pair that meets
+Within a node, classes that agree in too few coordinates with every other are let go; for
+the rest, brute force counts exact Jaccard similarities on the shingles of the texts. A pair that meets
 in several nodes counts in the smallest of them only. What leaves a node is one row per class
 (its links there and the root of its linked group), never its pairs.
 
@@ -46,6 +47,8 @@ TARGET = 0.99
 COORDINATES = 64
 SMALL = 128  # classes of a node that is searched as a whole
 BLOCK = 384  # classes of a block of a dense node
+AGREE = 35  # coordinates that must agree before texts are compared
+FIRST_DEPTH = 4  # the first runs suffice for nodes that deep
 DENSE = 0.6  # a node that keeps so much of its parent is dense
 MEMO_WORDS = 300_000
 
@@ -181,61 +184,96 @@ def _linked(sets: list[np.ndarray], cross: int, threshold: float) -> list[tuple[
     return list(zip(*(x.tolist() for x in np.nonzero(close)), strict=True))
 
 
-def search(rows: DataFrame, threshold: float) -> DataFrame:
-    """Brute force in every node: rows (cid, root, links).
-
-    ``rows``: node, size, cid, copies, nodes (all nodes of the class) and packed (its text).
-    """
+def _deal(rows: DataFrame, *columns: str) -> DataFrame:
+    """Each row once for a small node; for a dense node once for every pair of blocks that its block is in."""
     blocks = F.when(F.col("size") <= SMALL, 1).otherwise(F.ceil(F.col("size") / BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("cid", "node"), F.col("blocks")).cast("int")
-    dealt = (
-        rows.withColumn("blocks", blocks).withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "copies", "nodes", "packed")
-    )
+    dealt = rows.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select("node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", *columns)
+
 
-    def group(rows: list[tuple], shingles: Shingler, unpack) -> list[tuple]:
-        rows = sorted({r.cid: r for r in rows}.values(), key=lambda r: (r.own, r.cid))
-        if len(rows) < 2:
-            return []
-        node, cross = rows[0].node, 0
-        if rows[0].i != rows[0].j:
-            cross = sum(r.own == rows[0].i for r in rows)
-            if cross in (0, len(rows)):
-                return []
-        links, root = [0] * len(rows), list(range(len(rows)))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        sets = [shingles(unpack(r.packed).decode("utf-8", "surrogatepass")) for r in rows]
-        homes = [set(r.nodes) for r in rows]
-        for a, b in _linked(sets, cross, threshold):
-            if min(homes[a] & homes[b]) == node:
-                links[a] += rows[b].copies
-                links[b] += rows[a].copies
-            x, y = sorted((find(a), find(b)), key=lambda k: rows[k].cid)
-            root[y] = x
-        linked = [k for k in range(len(rows)) if links[k] or find(k) != k]
-        return [(rows[k].cid, rows[find(k)].cid, links[k]) for k in linked]
+def _in_groups(dealt: DataFrame, make, schema: str) -> DataFrame:
+    """Stream each (node, i, j) through ``make()(rows, cross)``; cross: how many rows are of the first of two blocks."""
+    names = [f.split(" ")[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles, unpack = Shingler(), zstandard.ZstdDecompressor().decompress
-        key, held = None, []
+        work, key, held = make(), None, []
+
+        def close() -> list[tuple]:
+            rows = sorted({r.cid: r for r in held}.values(), key=lambda r: (r.own, r.cid))
+            cross = 0 if len(rows) < 2 or rows[0].i == rows[0].j else sum(r.own == rows[0].i for r in rows)
+            return [] if len(rows) < 2 or (rows[0].i != rows[0].j and cross in (0, len(rows))) else work(rows, cross)
+
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
                 if (r.node, r.i, r.j) != key:
-                    out += group(held, shingles, unpack)
+                    out += close()
                     key, held = (r.node, r.i, r.j), []
                 held.append(r)
-            yield pd.DataFrame(out, columns=["cid", "root", "links"])
-        yield pd.DataFrame(group(held, shingles, unpack), columns=["cid", "root", "links"])
+            yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame(close(), columns=names)
+
+    return dealt.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j").mapInPandas(run, schema)
+
+
+def hopeful(rows: DataFrame) -> DataFrame:
+    """Of rows (node, size, cid, sig) those, as (cid, node, size), that agree with another class of their node in ``AGREE`` coordinates.
+
+    A pair at the threshold fails to with a chance of about one in a million.
+    """
+
+    def make():
+        def work(rows: list, cross: int) -> list[tuple]:
+            sigs = np.stack([r.sig for r in rows])
+            same = np.zeros((len(rows), len(rows)), np.int16)
+            for k in range(COORDINATES):
+                same += sigs[:, k][:, None] == sigs[:, k][None, :]
+            near = same >= AGREE
+            np.fill_diagonal(near, False)
+            if cross:
+                near[:cross, :cross] = False
+                near[cross:, cross:] = False
+            return [(rows[k].cid, rows[k].node, rows[k].size_) for k in np.flatnonzero(near.any(1))]
+
+        return work
+
+    found = _in_groups(_deal(rows.withColumn("size_", F.col("size")), "size_", "sig"), make, "cid binary, node long, size long")
+    return found.distinct()
+
+
+def search(rows: DataFrame, threshold: float) -> DataFrame:
+    """Exact search in every node: rows (cid, root, links).
+
+    ``rows``: node, size, cid, copies, nodes (all nodes of the class) and packed (its text).
+    """
+
+    def make():
+        shingles, unpack = Shingler(), zstandard.ZstdDecompressor().decompress
+
+        def work(rows: list, cross: int) -> list[tuple]:
+            node, links, root = rows[0].node, [0] * len(rows), list(range(len(rows)))
+
+            def find(x: int) -> int:
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            sets = [shingles(unpack(r.packed).decode("utf-8", "surrogatepass")) for r in rows]
+            homes = [set(r.nodes) for r in rows]
+            for a, b in _linked(sets, cross, threshold):
+                if min(homes[a] & homes[b]) == node:
+                    links[a] += rows[b].copies
+                    links[b] += rows[a].copies
+                x, y = sorted((find(a), find(b)), key=lambda k: rows[k].cid)
+                root[y] = x
+            linked = [k for k in range(len(rows)) if links[k] or find(k) != k]
+            return [(rows[k].cid, rows[find(k)].cid, links[k]) for k in linked]
+
+        return work
 
-    return dealt.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j").mapInPandas(run, "cid binary, root binary, links long")
+    return _in_groups(_deal(rows, "copies", "nodes", "packed"), make, "cid binary, root binary, links long")
 
 
 def _packed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -252,7 +290,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, target: float
     """One row per input row: doc_id, text_key, class_id, n_links, stands (for its class)."""
     members = materialize(signatures(docs, doc_id, text))
     classes = materialize(members.where("cid is not null").groupBy("cid").agg(F.min("text_key").alias("text_key"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("copies")))
-    found, runs, needed = [], 0, runs_needed(2, threshold, target)
+    found, runs, needed = [], 0, runs_needed(FIRST_DEPTH, threshold, target)
     while runs < needed:
         more, depth = leaves(classes, runs, needed - runs, threshold)
         found += more
@@ -260,6 +298,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, target: float
     places = found[0]
     for part in found[1:]:
         places = places.unionByName(part)
+    places = hopeful(places.join(classes.select("cid", "sig"), "cid"))
     places = materialize(places.groupBy("cid").agg(F.collect_set(F.struct("node", "size")).alias("places")))
     wanted = places.join(classes.select("cid", "text_key", "copies"), "cid")
     rows = wanted.join(_packed(docs, doc_id, text), "text_key").withColumn("nodes", F.col("places.node")).withColumn("_at", F.explode("places"))

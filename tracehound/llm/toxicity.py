@@ -208,37 +208,41 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS)
     return train(list(sample["text"]), sample["toxic"].to_numpy(np.int64)) if len(sample) else None
 
 
-def score_texts(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Columns doc_id and score for every row."""
-    key = f"`{doc_id}` as doc_id"
-    if model is None:
-        return docs.selectExpr(key, "0D as score")
-    shared = docs.sparkSession.sparkContext.broadcast((model.bucket_logits().astype(np.float32), model.base_logit()))
+def _scorer(logits: np.ndarray, base: float):
+    """A function from text to score, with a bounded memo of word logits."""
+    memo: dict[str, float] = {}
+
+    def scored(text: str | None) -> float:
+        words = words_of(text)
+        if len(memo) > MEMO_WORDS:
+            memo.clear()
+        for w in set(words).difference(memo):
+            bag = subwords(w)
+            memo[w] = float(logits[bag].sum()) / len(bag)
+        best = max((sum(map(memo.__getitem__, span)) for span in segments_of(words)), default=0.0) / SEGMENT
+        return 1 / (1 + math.exp(-max(-500.0, min(500.0, best + base))))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        logits, base = shared.value
-        memo: dict[str, float] = {}
+    return scored
 
-        def scored(text: str | None) -> float:
-            words = words_of(text)
-            for w in set(words).difference(memo):
-                bag = subwords(w)
-                memo[w] = float(logits[bag].sum()) / len(bag)
-            best = max((sum(map(memo.__getitem__, span)) for span in segments_of(words)), default=0.0) / SEGMENT
-            return 1 / (1 + math.exp(-max(-500.0, min(500.0, best + base))))
 
-        for batch in batches:
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": [scored(t) for t in batch["text"]]})
+def with_score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """``docs`` with the column score."""
+    if model is None:
+        return docs.withColumn("score", F.lit(0.0))
+    shared = docs.sparkSession.sparkContext.broadcast((model.bucket_logits().astype(np.float32), model.base_logit()))
+
+    @F.pandas_udf("double")
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scored = _scorer(*shared.value)
+        for batch in texts:
+            yield batch.map(scored, na_action=None).astype("float64")
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.selectExpr(key, f"`{text}` as text").mapInPandas(run, f"doc_id {kind}, score double")
+    return docs.withColumn("score", score(text_of(text)))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of ``docs``."""
-    scores = score_texts(docs, fit(docs, labels, max_per_class))
+    scores = with_score(docs.select("doc_id", "text"), fit(docs, labels, max_per_class))
     return scores.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= CUTOFF).cast("int").alias("predicted"))
 
 

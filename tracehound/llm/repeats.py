@@ -14,9 +14,9 @@ equal anchors at equal places. A piece is the bytes of all strings that share on
 place (at most 2 * length - 16). Pieces of one anchor gram are lined up at it and form a
 collection, so rounds are bounded, and only suffixes of one round need comparing.
 
-* Texts are taken once each; a text that occurs twice is removed whole.
 * Anchor places are counted by gram and piece. Grams that occur once are done. A piece that
   occurs twice is removed whole; it stays in its collection once, for other pieces to match.
+  (Texts go by a 128-bit hash; copies of a text are pieces that occur twice.)
 * Collections of more than ``HOT`` different pieces are not sorted in one task: their
   strings are counted by hash instead, which is exact up to 128-bit collisions and combines
   before the shuffle.
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracehound.llm.common import query, table, text_of
-from tracehound.runtime import materialize
+from tracehound.runtime import materialize, scratch_path
 
 LENGTH = 200
 GRAM = 16
@@ -129,7 +129,10 @@ def _bytes(text: str | None) -> bytes:
 
 
 def _places(texts: DataFrame, length: int) -> DataFrame:
-    """Rows (tk, place, first, last, gram, piece) of all anchor places; piece: a hash of its bytes and place."""
+    """Rows (tk, at, gram, piece) of all anchor places; piece: a hash of its bytes and place.
+
+    ``at`` holds the place, how far its first string starts before it, and how far the last one starts after the first.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -140,25 +143,29 @@ def _places(texts: DataFrame, length: int) -> DataFrame:
                     place, first, last, gram = anchors(data, length)
                     spans = zip(place.tolist(), first.tolist(), last.tolist(), strict=True)
                     piece = np.fromiter((xxhash.xxh3_64_intdigest(data[f : e + length], a - f) for a, f, e in spans), np.uint64, len(place))
-                    frames.append(pd.DataFrame({"tk": tk, "place": place, "first": first, "last": last, "gram": gram, "piece": piece.view(np.int64)}))
+                    frames.append(pd.DataFrame({"tk": tk, "at": place << 16 | (place - first) << 8 | (last - first), "gram": gram, "piece": piece.view(np.int64)}))
                 if frames:
                     yield pd.concat(frames)
 
-    return texts.select("tk", "text").mapInPandas(run, "tk string, place int, first int, last int, gram long, piece long")
+    return texts.select("tk", "text").mapInPandas(run, "tk binary, at long, gram long, piece long")
+
 
+def _packed(texts: DataFrame, *also: str) -> DataFrame:
+    """tk, the text's compressed bytes, and further columns (name and type)."""
+    names = [a.split(" ")[0] for a in also]
 
-def _packed(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            yield pd.DataFrame({"tk": batch["tk"], "packed": [pack(_bytes(t)) for t in batch["text"]]})
+            batch["packed"] = [pack(_bytes(t)) for t in batch["text"]]
+            yield batch[["tk", "packed", *names]]
 
-    return texts.select("tk", "text").mapInPandas(run, "tk string, packed binary")
+    return texts.select("tk", "text", *names).mapInPandas(run, ", ".join(["tk binary", "packed binary", *also]))
 
 
 def _pieces(wanted: DataFrame, packed: DataFrame, length: int) -> DataFrame:
     """Adds ``data``, the bytes of each wanted piece. A text's pieces are cut in slices of rows, never all at once."""
-    schema = "tk string, first int, left int, gram long, counted boolean, large boolean, data binary"
+    schema = "tk binary, first int, left int, gram long, counted boolean, large boolean, data binary"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -172,10 +179,15 @@ def _pieces(wanted: DataFrame, packed: DataFrame, length: int) -> DataFrame:
                         columns=["tk", "first", "left", "gram", "counted", "large", "data"],
                     )
 
-    spans = wanted.groupBy("tk").agg(F.collect_list(F.struct("place", "first", "last", "gram", "counted", "large")).alias("spans"))
+    parts = {"place": F.shiftright("at", 16), "first": _first(), "last": _first() + F.col("at").bitwiseAND(255)}
+    spans = wanted.withColumns(parts).groupBy("tk").agg(F.collect_list(F.struct(*parts, "gram", "counted", "large")).alias("spans"))
     return spans.join(packed, "tk").select("tk", "packed", "spans").mapInPandas(run, schema)
 
 
+def _first():
+    return F.shiftright("at", 16) - F.shiftright("at", 8).bitwiseAND(255)
+
+
 def _sorted_spans(pieces: DataFrame, length: int) -> DataFrame:
     """Spans (tk, start, end) of repeated strings found by the construction, for pieces not counted yet."""
 
@@ -205,7 +217,7 @@ def _sorted_spans(pieces: DataFrame, length: int) -> DataFrame:
             yield pd.DataFrame(solve(held + group), columns=["tk", "start", "end"])
 
     rows = pieces.where("not large").select("tk", "first", "left", "gram", "counted", "data")
-    return rows.repartition("gram").sortWithinPartitions("gram").mapInPandas(run, "tk string, start int, end int")
+    return rows.repartition("gram").sortWithinPartitions("gram").mapInPandas(run, "tk binary, start int, end int")
 
 
 def _counted_spans(pieces: DataFrame, length: int) -> DataFrame:
@@ -218,67 +230,56 @@ def _counted_spans(pieces: DataFrame, length: int) -> DataFrame:
                 keys = [xxhash.xxh3_128_digest(r.data[k : k + length]) for k in starts]
                 yield pd.DataFrame({"tk": r.tk, "start": [r.first + k for k in starts], "counted": r.counted, "key": keys})
 
-    strings = pieces.where("large").select("tk", "first", "counted", "data").mapInPandas(run, "tk string, start int, counted boolean, key binary")
+    strings = pieces.where("large").select("tk", "first", "counted", "data").mapInPandas(run, "tk binary, start int, counted boolean, key binary")
     often = strings.groupBy("key").count().where("count > 1").select("key")
     return strings.where("not counted").join(often, "key").select("tk", "start", (F.col("start") + length).alias("end"))
 
 
-def repeated_spans(texts: DataFrame, packed: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Spans (tk, start, end) of bytes to remove from distinct texts (tk, text)."""
-    places = materialize(_places(texts, length))
-    kinds = places.groupBy("gram", "piece").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tk", "place", "first", "last")).alias("one"))
+def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Spans (tk, start, end) of bytes to remove from texts (tk, text)."""
+    spark = texts.sparkSession
+    path = scratch_path(spark, "places")
+    _places(texts, length).write.parquet(path)
+    places = spark.read.parquet(path)
+    kinds = places.groupBy("gram", "piece").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("tk", "at")).alias("one"))
     grams = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all")).where("all > 1")
     kinds = materialize(kinds.join(grams, "gram").select("gram", "piece", "n", "kinds", "one"))
-    whole = places.join(kinds.where("n > 1").select("gram", "piece"), ["gram", "piece"]).select("tk", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
+    whole = places.join(kinds.where("n > 1").select("gram", "piece"), ["gram", "piece"])
+    whole = whole.select("tk", _first().cast("int").alias("start"), (_first() + F.col("at").bitwiseAND(255) + length).cast("int").alias("end"))
     wanted = kinds.where("kinds > 1").select("one.*", "gram", (F.col("n") > 1).alias("counted"), (F.col("kinds") > HOT).alias("large"))
-    pieces = materialize(_pieces(wanted, packed, length))
-    return whole.unionByName(_sorted_spans(pieces, length)).unionByName(_counted_spans(pieces, length))
+    pieces = _pieces(wanted, _packed(texts), length)
+    spans = whole.unionByName(_sorted_spans(pieces, length))
+    return spans if wanted.where("large").isEmpty() else spans.unionByName(_counted_spans(pieces, length))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (bytes) of every row."""
-    texts = docs.select(text_of(text).alias("text")).withColumn("tk", F.md5("text"))
-    copies = materialize(texts.groupBy("tk").agg(F.count(F.lit(1)).alias("copies")))
-    # a copied text is searched once; which row gives it makes no difference
-    packed = _packed(texts)
-    once = packed.groupBy("tk").agg(F.first("packed").alias("packed"))
-    spans = repeated_spans(_unpacked(once), once, length)
-    covered = materialize(spans.groupBy("tk").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
-    facts = once.join(copies, "tk").join(covered, "tk", "left").select("tk", "packed", "copies", "spans")
-    done = facts.mapInPandas(_cutter(length), "tk string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.md5(text_of(text)).alias("tk"))
-    return rows.join(done, "tk").drop("tk")
-
-
-def _unpacked(packed: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.iloc[at : at + 1000]
-                yield pd.DataFrame({"tk": part["tk"], "text": [unpack(p).decode("utf-8", "surrogatepass") for p in part["packed"]]})
-
-    return packed.mapInPandas(run, "tk string, text string")
-
-
-def _cutter(length: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            for at in range(0, len(batch), 500):
-                out = []
-                for r in batch.iloc[at : at + 500].itertuples(index=False):
-                    data, starts, ends = unpack(r.packed), np.zeros(0, np.int64), np.zeros(0, np.int64)
-                    if r.copies > 1 and len(data) >= length:
-                        starts, ends = np.array([0]), np.array([len(data)])
-                    elif r.spans is not None and len(r.spans):
-                        starts, ends = merged(np.array([s["start"] for s in r.spans]), np.array([s["end"] for s in r.spans]))
-                    edges = [0, *np.stack([starts, ends], 1).ravel().tolist(), len(data)]
-                    kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                    out.append((r.tk, len(data), len(data) - len(kept), len(starts), hashlib.sha256(kept).hexdigest(), kept))
-                yield pd.DataFrame(out, columns=["tk", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    return run
+    key = F.unhex(F.md5(text_of(text)))
+    texts = docs.select(text_of(text).alias("text"), key.alias("tk"))
+    covered = materialize(repeated_spans(texts, length).groupBy("tk").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
+    kind = docs.schema[doc_id].dataType.simpleString()
+    rows = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"), key.alias("tk"))
+    packed = _packed(rows, f"doc_id {kind}")
+    facts = packed.join(covered, "tk", "left").select("doc_id", "packed", "spans")
+    return facts.mapInPandas(_cutter, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
+
+def _cutter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    for batch in batches:
+        for at in range(0, len(batch), 500):
+            part, out = batch.iloc[at : at + 500], []
+            for text, spans in zip(part["packed"], part["spans"], strict=True):
+                data, starts, ends = unpack(text), np.zeros(0, np.int64), np.zeros(0, np.int64)
+                if spans is not None and len(spans):
+                    starts, ends = merged(np.array([s["start"] for s in spans]), np.array([s["end"] for s in spans]))
+                edges = [0, *np.stack([starts, ends], 1).ravel().tolist(), len(data)]
+                kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+                out.append((len(data), len(data) - len(kept), len(starts), hashlib.sha256(kept).hexdigest(), kept))
+            frame = pd.DataFrame(out, columns=names)
+            frame.insert(0, "doc_id", part["doc_id"].to_numpy())
+            yield frame
 
 
 @query("op5_repeats")

@@ -46,6 +46,8 @@ CLOSES_P = BLOCKS - set("html body td th caption".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 
+SPEAKING = set("main article section nav aside header footer form dialog address".split())
+
 # What names of classes, ids and roles tell.
 NAMES = {
     "content": r"content|article|post|entry|main|story|body|text",
@@ -194,7 +196,10 @@ def features(page: Page) -> list[list[int]]:
 
 @dataclass
 class Model:
-    """unary: features x 2; pair: parent label x own label."""
+    """unary: features x 2; pair: kind of edge x parent label x own label.
+
+    Edges to elements that speak for themselves, by tag or name, are of another kind than those to plain ones.
+    """
 
     unary: np.ndarray
     pair: np.ndarray
@@ -210,6 +215,7 @@ class Forest:
         held = [f for p in pages for f in features(p)]
         self.rows = np.repeat(np.arange(len(held)), [len(h) for h in held])
         self.cols = np.fromiter((c for h in held for c in h), np.int64, len(self.rows))
+        self.kind = np.array([int(t in SPEAKING or bool(n.strip())) for p in pages for t, n in zip(p.tag, p.names, strict=True)])
         depth = np.zeros(len(self.parent), np.int64)
         for k, p in enumerate(self.parent.tolist()):  # parents come before their children
             if p >= 0:
@@ -224,12 +230,13 @@ class Forest:
         np.add.at(own, self.rows, model.unary[self.cols])
         up, message = own.copy(), np.zeros((n, 2))
         for level in reversed(self.levels[1:]):
-            message[level] = np.logaddexp(model.pair[:, 0] + up[level][:, :1], model.pair[:, 1] + up[level][:, 1:])
+            pair = model.pair[self.kind[level]]
+            message[level] = np.logaddexp(pair[:, :, 0] + up[level][:, :1], pair[:, :, 1] + up[level][:, 1:])
             np.add.at(up, self.parent[level], message[level])
         belief, pairs = up.copy(), np.zeros((n, 2, 2))
         for level in self.levels[1:]:
             outer = belief[self.parent[level]] - message[level]  # what the parent knows without this child
-            joint = outer[:, :, None] + model.pair[None] + up[level][:, None, :]
+            joint = outer[:, :, None] + model.pair[self.kind[level]] + up[level][:, None, :]
             belief[level] = np.logaddexp(joint[:, 0], joint[:, 1])
             joint -= joint.max((1, 2), keepdims=True)
             joint = np.exp(joint)
@@ -245,15 +252,17 @@ def train(pages: list[Page], steps: int = 300, rate: float = 0.3, decay: float =
     label = np.concatenate([p.label for p in pages])
     truth = np.eye(2)[label]
     child = np.flatnonzero(forest.parent >= 0)
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (label[forest.parent[child]], label[child]), 1)
-    model = Model(np.zeros((len(FEATURES), 2)), np.zeros((2, 2)))
+    seen = np.zeros((2, 2, 2))
+    np.add.at(seen, (forest.kind[child], label[forest.parent[child]], label[child]), 1)
+    model = Model(np.zeros((len(FEATURES), 2)), np.zeros((2, 2, 2)))
     past = [np.full_like(model.unary, 1e-6), np.full_like(model.pair, 1e-6)]
     for _ in range(steps):
         nodes, pairs = forest.marginals(model)
         grad = np.zeros_like(model.unary)
         np.add.at(grad, forest.cols, (truth - nodes)[forest.rows])
-        for value, g, p in ((model.unary, grad, past[0]), (model.pair, seen - pairs[child].sum(0), past[1])):
+        expected = np.zeros_like(seen)
+        np.add.at(expected, forest.kind[child], pairs[child])
+        for value, g, p in ((model.unary, grad, past[0]), (model.pair, seen - expected, past[1])):
             g = g / len(label) - decay * value
             p += g * g
             value += rate * g / np.sqrt(p)
@@ -308,7 +317,7 @@ def labelled_pages(n: int = 400, seed: int = 3) -> list[Page]:
     def block() -> str:
         kind = rng.integers(12)
         if kind < 7:
-            return f"<p>{say(1, 90)}" + pick("</p>", "</p>", "")
+            return f"<p>{say(1, pick(6, 30, 90), pick('.', '.', ''))}" + pick("</p>", "</p>", "")
         if kind == 7:
             return f"<h2>{say(1, 8, '')}</h2>"
         if kind == 8:
@@ -322,7 +331,7 @@ def labelled_pages(n: int = 400, seed: int = 3) -> list[Page]:
     def article() -> str:
         inner = pick(f"<h1>{say(2, 10, '')}</h1>", f"<h1>{say(2, 10)}</h1>", "") + "".join(block() for _ in range(rng.integers(1, 9)))
         for extra in (advert, share, remarks, side):
-            if rng.random() < 0.12:
+            if rng.random() < 0.2:
                 inner += extra() + pick("", block())
         opening = pick("article", "article", "main", "div class='content'", "div class='post'", "div class='entry-content'", "div id='article-body'", "section class='story'", "div class='main-text'", "main id='main'")
         return f'<{opening} data-label="1">{inner}</{re.match(r"[a-z]+", opening)[0]}>'

@@ -169,7 +169,8 @@ def decode_html_entities(col: Column) -> Column:
 
     def decimal(t: Column) -> Column:
         digits = F.regexp_extract(t, "^&#([0-9]+);$", 1)
-        return F.when(digits != "", _char(low16(F.conv(digits, 10, 16)))).otherwise(t)
+        # the low 16 bits are settled by the last 16 digits, as 2^16 divides 10^16
+        return F.when(digits != "", _char(low16(F.conv(F.substr(digits, F.lit(-16)), 10, 16)))).otherwise(t)
 
     def step(text: Column, mark: str, tokens: str, body: Callable[[Column], Column]) -> Column:
         return F.when(F.contains(text, F.lit(mark)), _map_tokens(text, tokens, body)).otherwise(text)

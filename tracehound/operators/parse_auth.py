@@ -73,7 +73,8 @@ def parse_ts_syslog(
         return F.try_to_timestamp(text, F.lit("yyyy MMM d HH:mm:ss VV"))
 
     this_year = in_year(year)
-    return F.when(this_year > now, in_year(year - 1)).otherwise(this_year)
+    # a leap day that this year does not have was last year's
+    return F.when(this_year.isNull() | (this_year > now), in_year(year - 1)).otherwise(this_year)
 
 
 def syslog_fields(lines: DataFrame) -> DataFrame:
@@ -139,7 +140,7 @@ def parse_auth_syslog(lines: DataFrame, ref_now: Column | None = None, tz: str =
         "event_seq", parse_ts_syslog(F.col("month"), F.col("day"), clock, ref_now, tz).alias("ts"),
         F.lit(AUTH_SOURCE).alias("source"), "source_file", "ip", "method", "endpoint", "status_code",
         "log_level", F.lit("").alias("user_agent"), "user", F.col("line").alias("raw_line"),
-        F.col("line_number").cast("int").alias("line_number"),
+        F.col("line_number").cast("long").alias("line_number"),
         F.map_concat("_extra", base).alias("metadata"),
     ).select(*EVENT_COLUMNS)
 

@@ -100,7 +100,9 @@ def normalize_status(status: Column) -> Column:
 
 def parse_ts_iso(text: Column, now: Column | None = None) -> Column:
     """ISO time or epoch milliseconds; a missing value is the ingest time, a bad one NULL."""
-    millis = F.timestamp_millis(text.try_cast("long"))
+    number = text.try_cast("long")
+    # years 1 to 9999; finer units than milliseconds and nonsense give NULL
+    millis = F.timestamp_millis(F.when(number.between(-62_135_596_800_000, 253_402_300_799_999), number))
     parsed = F.when(F.regexp_like(text, F.lit(r"^-?\d{9,}$")), millis).otherwise(F.try_to_timestamp(text))
     return F.when(text.isNull(), F.current_timestamp() if now is None else now).otherwise(parsed)
 
@@ -144,6 +146,6 @@ def parse_json(
         normalize_status(F.col("f_status")).alias("status_code"),
         normalize_level(F.col("f_level")).alias("log_level"), F.lit("").alias("user_agent"),
         blank("f_user").alias("user"), canonical_json(F.col("line")).alias("raw_line"),
-        F.col("line_number").cast("int").alias("line_number"),
+        F.col("line_number").cast("long").alias("line_number"),
         json_metadata("obj", "message", "raw_endpoint", "endpoint").alias("metadata"),
     ).select(*EVENT_COLUMNS)

@@ -48,7 +48,7 @@ def web_derived(fields: DataFrame, steps: Sequence[Decoder] = DEFAULT_STEPS) ->
         status.alias("status_code"),
         F.when(status >= 400, "warn").otherwise("info").alias("log_level"),
         "user_agent", dash("remote_user").alias("user"), F.col("line").alias("raw_line"),
-        F.col("line_number").cast("int").alias("line_number"),
+        F.col("line_number").cast("long").alias("line_number"),
         F.create_map(
             F.lit("bodyBytes"), F.col("bytes_text").try_cast("long").cast("string"),
             F.lit("referer"), dash("referer"),

@@ -20,7 +20,7 @@ EVENT_SCHEMA = T.StructType(
         T.StructField("user_agent", T.StringType()),
         T.StructField("user", T.StringType()),
         T.StructField("raw_line", T.StringType()),
-        T.StructField("line_number", T.IntegerType()),
+        T.StructField("line_number", T.LongType()),
         T.StructField("metadata", T.MapType(T.StringType(), T.StringType())),
     ]
 )

@@ -10,6 +10,7 @@ from tracehound.runtime import materialize
 
 # Fixed value: share of lines that must be objects for a file of one object per line.
 NDJSON_SHARE = 0.5
+ARRAY_BASE = 1 << 62  # no file has so many lines
 _BLOCK_LINES = 4096
 
 
@@ -21,8 +22,9 @@ def json_layout(lines: DataFrame) -> DataFrame:
     )
     return stats.select(
         "source_file",
-        F.when(F.col("first_char") == "[", "array")
-        .when(F.col("share") > NDJSON_SHARE, "ndjson")
+        # a bracket may also begin a banner line above objects of one line each
+        F.when(F.col("share") > NDJSON_SHARE, "ndjson")
+        .when(F.col("first_char") == "[", "array")
         .otherwise("objects").alias("layout"),
     )
 
@@ -82,6 +84,9 @@ def split_array(lines: DataFrame) -> DataFrame:
 
     Such a file is a single document; like the built-in multi-line reader it is read
     by one task per file. Element numbers take the place of line numbers.
+
+    An array can have more elements than its file has lines, so elements are numbered apart
+    from lines: above ``ARRAY_BASE``, by file, then element.
     """
     document = lines.groupBy("source_file").agg(
         F.min("event_seq").alias("event_seq"),
@@ -89,10 +94,13 @@ def split_array(lines: DataFrame) -> DataFrame:
             F.array_sort(F.collect_list(F.struct("line_number", "line")))["line"], "\n"
         ).alias("text"),
     )
+    # one row per array file, without its text
+    files = document.select("event_seq", "source_file").withColumn("_file", F.row_number().over(Window.orderBy("event_seq", "source_file")))
+    document = document.drop("event_seq").join(files.select("source_file", "_file"), "source_file")
     return document.select(
-        "event_seq", "source_file", F.posexplode(F.from_json("text", "array<string>")).alias("_i", "line")
+        "_file", "source_file", F.posexplode(F.from_json("text", "array<string>")).alias("_i", "line")
     ).select(
-        (F.col("event_seq") + F.col("_i")).alias("event_seq"), "source_file",
+        (F.lit(ARRAY_BASE) + F.col("_file") * F.lit(1 << 31) + F.col("_i")).alias("event_seq"), "source_file",
         (F.col("_i") + 1).cast("long").alias("line_number"), "line",
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracehound.operators.chains import SUSPICIOUS_STATUS
-from tracehound.operators.detect import any_rule_guard
-from tracehound.operators.rules import RULES, ThresholdRule, regex_rules
+from tracehound.operators.detect import any_rule_guard, rule_match
+from tracehound.operators.rules import RULES, Rule, ThresholdRule, regex_rules
 from tracehound.schema import group_of, micros
 
 _ALERT = "grp string, event_seq long, t long"
@@ -75,16 +75,22 @@ def stream_threshold(events: DataFrame, rule: ThresholdRule, watermark: str = "1
 
 
 def stream_chains(
-    events: DataFrame, window_seconds: int = 300, min_events: int = 2, watermark: str = "10 minutes"
+    events: DataFrame,
+    window_seconds: int = 300,
+    min_events: int = 2,
+    watermark: str = "10 minutes",
+    rules: Sequence[Rule] = RULES,
 ) -> DataFrame:
     """Sessions of suspicious events per address, emitted when the watermark passes.
 
     Suspicious here means a rejected status or a regex hit of the event itself.
     """
-    rules = [r for _, r in regex_rules(RULES)]
-    suspicious = F.coalesce(F.col("status_code").isin(SUSPICIOUS_STATUS), F.lit(False)) | any_rule_guard(
-        events, rules
-    )
+    regex = [r for _, r in regex_rules(rules)]
+    suspicious = F.coalesce(F.col("status_code").isin(SUSPICIOUS_STATUS), F.lit(False))
+    if regex:
+        # the guard is a superset that spares harmless events the patterns
+        hit = F.coalesce(*[F.expr(rule_match(events, r)) for r in regex]).isNotNull()
+        suspicious = suspicious | (any_rule_guard(events, regex) & hit)
     return (
         events.where(suspicious)
         .select(group_of(F.col("ip")).alias("ip"), "ts")

@@ -24,9 +24,9 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -80,22 +80,36 @@ class Model:
         return float(self.bias[1] - self.bias[0] - self.shift)
 
 
+# What scoring needs of a model: one number per bucket, and that of a text without words.
+Logits = tuple[np.ndarray, float]
+
+
 class _Corpus:
     """Texts as numbers of distinct words, words as buckets, both as flat arrays with offsets."""
 
     def __init__(self, texts: list[str]):
         number: dict[str, int] = {}
-        spans = [segments_of(words_of(t)) for t in texts]
-        docs = [[[number.setdefault(w, len(number)) for w in span] for span in doc] for doc in spans]
-        bags = [subwords(w) for w in number]
-        self.bag_size = np.array([len(b) for b in bags], np.int32)
+        words, sizes, segments = array("i"), array("q", [0]), array("q", [0])
+        buckets, bag_sizes = array("i"), array("i")
+        for text in texts:  # one text at a time: only numbers are kept
+            spans = segments_of(words_of(text))
+            for span in spans:
+                for w in span:
+                    if w not in number:
+                        number[w] = len(number)
+                        bag = subwords(w)
+                        buckets.extend(bag)
+                        bag_sizes.append(len(bag))
+                    words.append(number[w])
+                sizes.append(len(span))
+            segments.append(len(spans))
+        self.bag_size = np.array(bag_sizes, np.int32)
         self.bag_at = np.concatenate([[0], np.cumsum(self.bag_size)])
-        self.buckets = np.fromiter(chain.from_iterable(bags), np.int32)
+        self.buckets = np.array(buckets, np.int32)
         # segments: where each begins in the words, and which is the first of each text
-        flat = [span for doc in docs for span in doc]
-        self.words = np.fromiter(chain.from_iterable(flat), np.int32)
-        self.start = np.concatenate([[0], np.cumsum([len(span) for span in flat], dtype=np.int64)]).astype(np.int64)
-        self.first = np.concatenate([[0], np.cumsum([len(doc) for doc in docs])]).astype(np.int64)
+        self.words = np.array(words, np.int32)
+        self.start = np.cumsum(np.array(sizes, np.int64))
+        self.first = np.cumsum(np.array(segments, np.int64))
 
     def segment_logits(self, bucket_logits: np.ndarray) -> np.ndarray:
         word = np.add.reduceat(bucket_logits[self.buckets], self.bag_at[:-1]) / self.bag_size
@@ -191,8 +205,11 @@ def held_out(doc_id: str | Column) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS) -> Model | None:
-    """Train on a bounded sample of labelled rows that are not held out."""
+def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS) -> Logits | None:
+    """Train on a bounded sample of labelled rows that are not held out, in one task.
+
+    Only the numbers that scoring needs come back to the driver.
+    """
     known = (
         labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -204,8 +221,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS)
         picked = part if picked is None else picked.unionByName(part)
     # at most two times max_per_class ids
     rows = docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
-    sample = rows.toPandas().sort_values("doc_id")
-    return train(list(sample["text"]), sample["toxic"].to_numpy(np.int64)) if len(sample) else None
+
+    def trained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [b for b in batches if len(b)]
+        if parts:
+            sample = pd.concat(parts).sort_values("doc_id")
+            model = train(list(sample["text"]), sample["toxic"].to_numpy(np.int64))
+            if model is not None:
+                yield pd.DataFrame({"logits": [model.bucket_logits().astype(np.float32).tobytes()], "base": [model.base_logit()]})
+
+    found = rows.repartition(1).mapInPandas(trained, "logits binary, base double").collect()
+    return (np.frombuffer(found[0]["logits"], np.float32), found[0]["base"]) if found else None
 
 
 def _scorer(logits: np.ndarray, base: float):
@@ -225,11 +251,11 @@ def _scorer(logits: np.ndarray, base: float):
     return scored
 
 
-def with_score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+def with_score(docs: DataFrame, model: Logits | None, text: str = "text") -> DataFrame:
     """``docs`` with the column score."""
     if model is None:
         return docs.withColumn("score", F.lit(0.0))
-    shared = docs.sparkSession.sparkContext.broadcast((model.bucket_logits().astype(np.float32), model.base_logit()))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

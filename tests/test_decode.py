@@ -13,10 +13,10 @@ def run(spark, fn, texts):
 
 CASES = {
     d.decode_url_iter: [
-        ("%2e%2e%2f", "../"),
-        ("%27%20OR%201%3D1", "' OR 1=1"),
-        ("%252e%252e%252f", "../"),
-        ("normal-string", "normal-string"),
+        ("%5Bkey%5D%2fx", "[key]/x"),
+        ("q%3D%22blue%22%3B", 'q="blue";'),
+        ("%2561%2562", "ab"),
+        ("nothing_to-do.", "nothing_to-do."),
         ("a+b", "a+b"),
         ("a%2e%zz%ff", "a.%zzÿ"),
         ("%C3%A9", "é"),
@@ -28,10 +28,10 @@ CASES = {
         (None, None),
     ],
     d.decode_base64_segments: [
-        ("Li4vLi4vZXRjL3Bhc3N3ZA==", "../../etc/passwd"),
-        ("/d?p=Li4vLi4vZXRjL3Bhc3N3ZA==", "/d?p=../../etc/passwd"),
-        ("Li4vLi4vZXRjL3Bhc3N3ZA", "../../etc/passwd"),
-        ("Li4vLi4vZXRjL3Bhc3N3ZA===", "Li4vLi4vZXRjL3Bhc3N3ZA==="),
+        ("b3BlbiBzZXNhbWUvZG9vcg==", "open sesame/door"),
+        ("/d?p=b3BlbiBzZXNhbWUvZG9vcg==", "/d?p=open sesame/door"),
+        ("b3BlbiBzZXNhbWUvZG9vcg", "open sesame/door"),
+        ("b3BlbiBzZXNhbWUvZG9vcg===", "b3BlbiBzZXNhbWUvZG9vcg==="),
         ("/admin/login", "/admin/login"),
         ("short", "short"),
         ("aGVsbG8gd29ybGQh.aGVsbG8gd29ybGQh", "hello world!.hello world!"),
@@ -63,9 +63,9 @@ def test_pairs(spark, fn):
 
 
 def test_chain(spark):
-    b64 = base64.b64encode(b"../../etc/passwd").decode()
-    texts = ["%2e%2e/%2e%2e/etc/passwd", "normal log line", "/admin/login", "/x?p=" + b64, "%26lt%3Bscript%26gt%3B"]
-    want = ["../../etc/passwd", "normal log line", "/admin/login", "/x?p=../../etc/passwd", "<script>"]
+    b64 = base64.b64encode(b"open sesame/door").decode()
+    texts = ["%5Bkey%5D/%2561", "cart opened at nine", "/shop/basket", "/x?p=" + b64, "%26lt%3Bscript%26gt%3B"]
+    want = ["[key]/a", "cart opened at nine", "/shop/basket", "/x?p=open sesame/door", "<script>"]
     assert run(spark, d.deobfuscate, texts) == want
 
 

@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from sample_logs import app_objects, auth_lines, web_lines, write_all
+from sample_logs import PROBER, app_objects, auth_lines, web_lines, write_all
 from tracehound.functions.ips import ip_to_long, is_private_ip
 from tracehound.functions.labels import human_size
 from tracehound.operators import formats as fo
@@ -70,7 +70,7 @@ def test_human_size(spark):
 
 
 def test_layouts(spark):
-    objects = app_objects()
+    objects = app_objects() * 3
     nested = [{"a": [{"b": 1}, {"b": "x}\n{"}], "user": "u"}, {"c": {"d": 2}}]
     df = lines(
         spark,
@@ -82,7 +82,7 @@ def test_layouts(spark):
     kinds = {r["source_file"]: r["layout"] for r in json_layout(df).collect()}
     assert kinds == {"f0": "ndjson", "f1": "objects", "f2": "array", "f3": "array"}
     got = {r["source_file"]: r["count"] for r in json_objects(df).groupBy("source_file").count().collect()}
-    assert got == {"f0": 12, "f1": 14, "f2": 12, "f3": 12}
+    assert got == {"f0": 6, "f1": 8, "f2": 6, "f3": 6}
 
 
 def test_objects_over_block_borders(spark, monkeypatch):
@@ -106,12 +106,12 @@ def test_json_object_and_canonical(spark):
 
 def test_json_fields(spark):
     df = lines(spark, [
-        '{"time": 1777104150000, "msg": "", "text": "t", "status": "404x", "verb": "get", "url": "/%61", "severity": "FATAL"}',
+        '{"time": 1773522150000, "msg": "", "text": "t", "status": "404x", "verb": "get", "url": "/%61", "severity": "FATAL"}',
         '{"timestamp": "junk", "status": 0, "user_id": 7, "k": [1]}',
         '{"ip": "", "src_ip": "1.2.3.4"}',
     ])
     a, b, c = parse_json(df, now()).orderBy("event_seq").collect()
-    assert str(a["ts"]) == "2026-04-25 08:02:30" and a["metadata"] == {"message": "t", "rawEndpoint": "/%61"}
+    assert str(a["ts"]) == "2026-03-14 21:02:30" and a["metadata"] == {"message": "t", "rawEndpoint": "/%61"}
     assert (a["status_code"], a["method"], a["endpoint"], a["log_level"]) == (404, "GET", "/a", "error")
     assert b["ts"] is None and b["status_code"] is None and b["user"] == "7" and b["metadata"]["k"] == "[1]"
     assert c["ip"] == "1.2.3.4" and str(c["ts"]) == "2026-12-01 00:00:00" and c["log_level"] == "info"
@@ -169,17 +169,17 @@ def test_incident_round_trip(spark, tmp_path):
     folder = write_all(tmp_path / "logs")
     root = str(tmp_path / "store")
     opt = Options(parse={"auth": {"ref_now": now()}, "json": {"now": now()}})
-    tables = analyze_files(spark, str(folder / "nginx-access.log"), opt)
+    tables = analyze_files(spark, str(folder / "shop-access.log"), opt)
     at = lambda d: F.lit(f"2026-05-{d:02d} 00:00:00").cast("timestamp")
     inc.save_incident(tables, root, "one", at(1))
     inc.save_incident(tables, root, "20260502", at(2))
     inc.save_incident(tables, root, "one", at(3))
     listed = inc.incident_list(inc.read_table(spark, root)).collect()
     assert [r["incident_id"] for r in listed] == ["one", "20260502"]
-    assert listed[0]["total_alerts"] == 9 and listed[0]["top_attacker_ip"] == "192.168.1.105"
+    assert listed[0]["total_alerts"] == 4 and listed[0]["top_attacker_ip"] == PROBER
     row = inc.incident_get(spark, root, "one").first()
     assert [t["type"] for t in row["attack_types"]][:2] == ["SQL Injection", "Path Traversal"]
-    assert inc.incident_get(spark, root, "one", "alerts").count() == 9
+    assert inc.incident_get(spark, root, "one", "alerts").count() == 4
     assert inc.incident_get(spark, root, "nope").count() == 0
     assert inc.incident_count(inc.read_table(spark, root)).first()[0] == 2
     assert inc.incident_delete(spark, root, "one") is True
@@ -209,7 +209,7 @@ def test_deep_page_equals_top_k(spark):
 
 
 def test_private_ips(spark):
-    cases = {"192.168.1.105": True, "127.0.0.1": True, "10.0.0.1": True, "8.8.8.8": False, "": True, "unknown": True,
+    cases = {"192.168.44.5": True, "127.0.0.1": True, "10.0.0.1": True, "8.8.8.8": False, "": True, "unknown": True,
              "172.15.0.1": False, "172.16.0.1": True, "172.31.9.9": True, "172.32.0.1": False, "0.0.0.0": True,
              "0.0.0.1": False, "1.2.3": True, "1.2.3.4.5": True, "a.b.c.d": False}
     df = spark.createDataFrame([(k,) for k in cases], "ip string")
@@ -248,10 +248,10 @@ def test_live_feeds(spark, tmp_path):
     assert ev.count() == 6 and [r["rule_id"] for r in al.collect()] == ["BRUTE_FORCE_LOGIN"]
     (src / "3.log").write_text("\n".join(web[6:12]))
     ev, al = run()
-    assert ev.count() == 12 and al.count() == 7
+    assert ev.count() == 12 and al.count() == 4
     assert ev.select("event_seq").distinct().count() == 12
     last = live.stream_stats(ev, al).orderBy("epoch").collect()[-1]
-    assert (last["files_watched"], last["events_processed"], last["alerts_generated"]) == (2, 12, 7)
+    assert (last["files_watched"], last["events_processed"], last["alerts_generated"]) == (2, 12, 4)
     assert live.stream_latest(ev, 2).count() == 2
 
 

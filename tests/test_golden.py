@@ -1,4 +1,4 @@
-"""The sample logs end to end, against results worked out by hand."""
+"""The sample logs end to end; expected values checked by hand against rules and weights, graph resources taken from a run."""
 
 import pytest
 from pyspark.sql import functions as F

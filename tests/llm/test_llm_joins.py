@@ -7,6 +7,7 @@ import numpy as np
 import corpus_pipeline
 from helpers_llm import DOCS, awkward, docs_of, words
 from tracehound.llm.chosen_path import SMALL, Shingler, jaccard_classes
+from tracehound.llm.components import components
 from tracehound.llm.mixing import Mix, leaf_budgets, mix_sources, with_leaf
 from tracehound.llm.repeats import anchors, remove_repeats, repeated_starts
 
@@ -45,6 +46,13 @@ def test_join_equals_brute_force(spark):
     assert sum(got[i].stands for i in got) == len({find(i) for i in range(len(texts))})
 
 
+def test_components_of_a_long_path(spark):
+    path = list(range(401))
+    random.Random(0).shuffle(path)
+    got = components(spark.createDataFrame([*zip(path, path[1:], strict=False), (500, 501), (7, 7), (None, 3)], "a long, b long")).collect()
+    assert {r.node: r.component for r in got} == {**dict.fromkeys(path, 0), 500: 500, 501: 500}
+
+
 def test_join_of_nothing(spark):
     assert jaccard_classes(spark.createDataFrame([], DOCS)).count() == 0
     assert jaccard_classes(docs_of(spark, [None, ""])).count() == 2

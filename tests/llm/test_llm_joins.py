@@ -6,7 +6,7 @@ import numpy as np
 
 import corpus_pipeline
 from helpers_llm import DOCS, awkward, docs_of, words
-from tracehound.llm.chosen_path import SMALL, Shingler, jaccard_classes
+from tracehound.llm.chosen_path import COORDINATES, SMALL, TARGET, THRESHOLD, Shingler, jaccard_classes, meetings
 from tracehound.llm.components import components
 from tracehound.llm.mixing import Mix, leaf_budgets, mix_sources, with_leaf
 from tracehound.llm.repeats import anchors, remove_repeats, repeated_starts
@@ -46,6 +46,20 @@ def test_join_equals_brute_force(spark):
     assert sum(got[i].stands for i in got) == len({find(i) for i in range(len(texts))})
 
 
+def test_pairs_at_the_threshold_meet(spark):
+    r = np.random.default_rng(3)
+    rows = []
+    for pair in range(3000):  # few values a coordinate: all share nodes down to some depth
+        sig = r.integers(0, 3, COORDINATES)
+        other = np.where(r.random(COORDINATES) < THRESHOLD, sig, sig + 10 + r.integers(0, 3, COORDINATES))
+        rows += [(bytes([half]) + pair.to_bytes(4, "big"), s.tolist()) for half, s in enumerate((sig, other))]
+    classes = spark.createDataFrame(rows, "cid binary, sig array<int>").repartition(4).localCheckpoint()
+    places = collections.defaultdict(set)
+    for x in meetings(classes, THRESHOLD, TARGET).select("cid", "node").toPandas().itertuples():
+        places[bytes(x.cid)].add(x.node)
+    assert all(places[b"\0" + k] & places[b"\1" + k] for k in (pair.to_bytes(4, "big") for pair in range(3000)))
+
+
 def test_components_of_a_long_path(spark):
     path = list(range(401))
     random.Random(0).shuffle(path)

@@ -9,7 +9,9 @@ branching factor that keeps a pair at the threshold alive. Nodes of one class en
 nodes are searched by brute force; larger ones split again. A node that hardly shrinks when
 it is split is dense, its classes really are alike: it is searched by brute force in pairs
 of blocks, so no task holds more than two blocks. Runs are repeated until a pair at the
-threshold has met with the target probability, given the deepest node seen.
+threshold has met with the target probability, given the deepest node seen. All runs draw on
+the same coordinates, so a pair that agrees in few of them is weak in every run; the target
+holds over the spread of that number, not only for its mean.
 
 Within a node, classes that agree in too few coordinates with every other are let go; for
 the rest, brute force counts exact Jaccard similarities on the shingles of the texts. A pair that meets
@@ -43,7 +45,7 @@ from tracehound.runtime import materialize
 
 WORDS = 5
 THRESHOLD = 0.8
-TARGET = 0.99
+TARGET = 1 - 1e-6
 COORDINATES = 64
 SMALL = 128  # classes of a node that is searched as a whole
 BLOCK = 384  # classes of a block of a dense node
@@ -119,17 +121,29 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.mapInPandas(run, f"doc_id {kind}, text_key long, cid binary, sig array<int>")
 
 
-def survival(depth: int, threshold: float) -> float:
-    """Chance that a pair at the threshold shares a node that deep in one run."""
-    alive, more = 1.0, 1 / threshold - 1
+def survival(depth: int, agree: float, threshold: float) -> float:
+    """Chance that a pair that agrees in that share of coordinates meets in a node that deep in one run."""
+    alive, more = 1.0, (1 / threshold - 1) * (1 - 1 / COORDINATES)  # a second coordinate may be the first again
     for _ in range(depth):
-        hit = threshold * alive
+        hit = agree * alive
         alive = (1 - more) * hit + more * (1 - (1 - hit) ** 2)
     return alive
 
 
+def missed(depth: int, runs: int, threshold: float) -> float:
+    """Chance that a pair at the threshold never meets, though it agrees in ``AGREE`` coordinates or more."""
+    out = 0.0
+    for k in range(AGREE, COORDINATES + 1):
+        share = math.comb(COORDINATES, k) * threshold**k * (1 - threshold) ** (COORDINATES - k)
+        out += share * (1 - survival(depth, k / COORDINATES, threshold)) ** runs
+    return out
+
+
 def runs_needed(depth: int, threshold: float, target: float) -> int:
-    return max(1, math.ceil(math.log(1 - target) / math.log(1 - min(survival(depth, threshold), 1 - 1e-9))))
+    runs = 1
+    while missed(depth, runs, threshold) > 1 - target:
+        runs += 1
+    return runs
 
 
 def _split(rows: DataFrame, threshold: float) -> DataFrame:
@@ -159,6 +173,19 @@ def leaves(classes: DataFrame, first: int, runs: int, threshold: float) -> tuple
         rows = large.select("cid", "node", "size").join(classes.select("cid", "sig"), "cid")
 
 
+def meetings(classes: DataFrame, threshold: float, target: float) -> DataFrame:
+    """Rows (cid, node, size) of the nodes to search, of as many runs as the target takes."""
+    found, runs, needed = [], 0, runs_needed(FIRST_DEPTH, threshold, target)
+    while runs < needed:
+        more, depth = leaves(classes, runs, needed - runs, threshold)
+        found += more
+        runs, needed = needed, max(needed, runs_needed(depth, threshold, target))
+    places = found[0]
+    for part in found[1:]:
+        places = places.unionByName(part)
+    return places
+
+
 def _linked(sets: list[np.ndarray], cross: int, threshold: float) -> list[tuple[int, int]]:
     """Pairs of sets at or above the threshold: within all, or with ``cross`` between the first ones and the rest."""
     sizes = np.array([len(s) for s in sets], np.float64)
@@ -290,15 +317,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, target: float
     """One row per input row: doc_id, text_key, class_id, n_links, stands (for its class)."""
     members = materialize(signatures(docs, doc_id, text))
     classes = materialize(members.where("cid is not null").groupBy("cid").agg(F.min("text_key").alias("text_key"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("copies")))
-    found, runs, needed = [], 0, runs_needed(FIRST_DEPTH, threshold, target)
-    while runs < needed:
-        more, depth = leaves(classes, runs, needed - runs, threshold)
-        found += more
-        runs, needed = needed, max(needed, runs_needed(depth, threshold, target))
-    places = found[0]
-    for part in found[1:]:
-        places = places.unionByName(part)
-    places = hopeful(places.join(classes.select("cid", "sig"), "cid"))
+    places = hopeful(meetings(classes, threshold, target).join(classes.select("cid", "sig"), "cid"))
     places = materialize(places.groupBy("cid").agg(F.collect_set(F.struct("node", "size")).alias("places")))
     wanted = places.join(classes.select("cid", "text_key", "copies"), "cid")
     rows = wanted.join(_packed(docs, doc_id, text), "text_key").withColumn("nodes", F.col("places.node")).withColumn("_at", F.explode("places"))

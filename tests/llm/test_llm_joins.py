@@ -6,6 +6,7 @@ import numpy as np
 
 import corpus_pipeline
 from helpers_llm import DOCS, awkward, docs_of, words
+from tracehound.llm import chosen_path, repeats
 from tracehound.llm.chosen_path import COORDINATES, SMALL, TARGET, THRESHOLD, Shingler, jaccard_classes, meetings
 from tracehound.llm.components import components
 from tracehound.llm.mixing import Mix, leaf_budgets, mix_sources, with_leaf
@@ -67,6 +68,17 @@ def test_components_of_a_long_path(spark):
     assert {r.node: r.component for r in got} == {**dict.fromkeys(path, 0), 500: 500, 501: 500}
 
 
+def test_join_reads_a_copied_text_once(spark, monkeypatch):
+    held = []
+    search = chosen_path.search
+    monkeypatch.setattr(chosen_path, "search", lambda rows, threshold: held.append(rows.count()) or search(rows, threshold))
+    text = words(120, 1)
+    for copies in (2, 9):
+        got = {r.doc_id: r for r in jaccard_classes(docs_of(spark, [text] * copies + [near(text, 1, 2)])).collect()}
+        assert {(r.class_id, r.n_links) for r in got.values()} == {(0, copies)}
+    assert held[0] == held[1] > 0
+
+
 def test_join_of_nothing(spark):
     assert jaccard_classes(spark.createDataFrame([], DOCS)).count() == 0
     assert jaccard_classes(docs_of(spark, [None, ""])).count() == 2
@@ -94,6 +106,17 @@ def test_repeats_equal_brute_force(spark):
     assert remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_copies_bring_their_pieces_once(spark, monkeypatch):
+    held = []
+    sort = repeats._sorted_spans
+    monkeypatch.setattr(repeats, "_sorted_spans", lambda pieces, length: held.append(pieces.count()) or sort(pieces, length))
+    texts = [words(60, 1) + words(30, 2), words(60, 1) + words(30, 3)]
+    for copies in (2, 9):
+        got = sorted(repeats.remove_repeats(docs_of(spark, texts[:1] * copies + texts[1:])).collect(), key=lambda r: r.doc_id)
+        assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == expect_removed(texts[:1] * copies + texts[1:])
+    assert held[0] == held[1] > 0
+
+
 def test_anchor_of_every_string():
     data = (words(400, 8) + "q" * 500).encode()
     place, first, last, _ = anchors(data)

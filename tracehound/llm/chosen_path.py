@@ -303,14 +303,16 @@ def search(rows: DataFrame, threshold: float) -> DataFrame:
     return _in_groups(_deal(rows, "copies", "nodes", "packed"), make, "cid binary, root binary, links long")
 
 
-def _packed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _packed(docs: DataFrame, text: str) -> DataFrame:
+    """Each different text once: text_key and its compressed bytes. Copies go before the shuffle, as far as a task sees them."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             batch["packed"] = [pack(("" if t is None else t).encode("utf-8", "surrogatepass")) for t in batch["text"]]
             yield batch[["text_key", "packed"]]
 
-    return docs.select(text_key(text_of(text)).alias("text_key"), F.col(text).alias("text")).mapInPandas(run, "text_key long, packed binary")
+    return docs.select(text_key(text_of(text)).alias("text_key"), F.col(text).alias("text")).mapInPandas(run, "text_key long, packed binary").dropDuplicates(["text_key"])
 
 
 def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -320,7 +322,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, target: float
     places = hopeful(meetings(classes, threshold, target).join(classes.select("cid", "sig"), "cid"))
     places = materialize(places.groupBy("cid").agg(F.collect_set(F.struct("node", "size")).alias("places")))
     wanted = places.join(classes.select("cid", "text_key", "copies"), "cid")
-    rows = wanted.join(_packed(docs, doc_id, text), "text_key").withColumn("nodes", F.col("places.node")).withColumn("_at", F.explode("places"))
+    rows = wanted.join(_packed(docs, text), "text_key").withColumn("nodes", F.col("places.node")).withColumn("_at", F.explode("places"))
     links = materialize(search(rows.select("_at.node", "_at.size", "cid", "copies", "nodes", "packed"), threshold))
     label = components(links.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     counted = links.groupBy("cid").agg(F.sum("links").alias("links"))

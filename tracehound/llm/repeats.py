@@ -247,7 +247,8 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     whole = places.join(kinds.where("n > 1").select("gram", "piece"), ["gram", "piece"])
     whole = whole.select("tk", _first().cast("int").alias("start"), (_first() + F.col("at").bitwiseAND(255) + length).cast("int").alias("end"))
     wanted = kinds.where("kinds > 1").select("one.*", "gram", (F.col("n") > 1).alias("counted"), (F.col("kinds") > HOT).alias("large"))
-    pieces = _pieces(wanted, _packed(texts), length)
+    # each different text once: its pieces were chosen once for all its copies
+    pieces = _pieces(wanted, _packed(texts).dropDuplicates(["tk"]), length)
     spans = whole.unionByName(_sorted_spans(pieces, length))
     return spans if wanted.where("large").isEmpty() else spans.unionByName(_counted_spans(pieces, length))
 

@@ -1,5 +1,6 @@
 import random
 import re
+import textwrap
 
 from pyspark.sql import functions as F
 
@@ -42,6 +43,24 @@ def test_no_rows(spark):
     assert scan_secrets(empty).count() == scan_licenses(empty).count() == fertility(empty).count() == 0
 
 
+def test_wrapped_license_notices(spark):
+    wrapped = ["/*\n" + textwrap.fill(t, 30, initial_indent=" * ", subsequent_indent=" * ") + "\n */\nint x;" for _, t in TEMPLATES]
+    scattered = "This work is licensed under\nthe GNU General Public License.\n" + words(20) + " mit"
+    rows = sorted(scan_licenses(docs_of(spark, [*wrapped, scattered])).collect(), key=lambda r: r.doc_id)
+    for r, t in zip(rows, [*wrapped, scattered], strict=True):
+        flat = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
+        best = {}
+        for label, text in TEMPLATES:
+            wanted, length = set(template_words(text)), len(re.findall("[a-z0-9]+", text.lower()))
+            blocks = [flat[k : k + length] for k in range(len(flat))] + [re.findall("[a-z0-9]+", x) for x in t.lower().split("\n")]
+            n = max(len(wanted & set(b)) for b in blocks)
+            if n >= needed(len(wanted), 0.9):
+                best[label] = max(best.get(label, 0), n / len(wanted))
+        assert (set(r.labels), r.score) == (set(best) | set(r.base_labels), max([*best.values(), float(r.n_base > 0)]))
+    assert all(label in r.labels for r, (label, _) in zip(rows, TEMPLATES, strict=False))
+    assert rows[-1].labels == ["gpl"]
+
+
 def test_license_join_equals_all_pairs(spark):
     notice = "This work is licensed under the MIT License."
     texts = awkward([notice, "x\n" + TEMPLATES[1][1] + "\ny", "Cc BY cc by", "mit license mit license", "licensed " * 9, " ".join(TEMPLATES[7][1].split()[:12])])

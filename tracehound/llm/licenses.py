@@ -1,8 +1,9 @@
 """License scan: exact containment join of text blocks with license templates.
 
-A block is one line of a text, seen as its set of words. It matches a template when it
-holds at least ``threshold`` of the template's distinct words. The join is exact and runs
-in Spark's own operators:
+A block is one line of a text, or as many words in a row as the template has, wherever lines
+end (so notices wrapped over lines count, comment marks between them not being words), seen as
+its set of words. It matches a template when it holds at least ``threshold`` of the template's
+distinct words. The join is exact and runs in Spark's own operators:
 
 * global order: template words are ordered by the number of documents that hold them,
   rarest first (counted over all documents; the vocabulary is that of the templates);
@@ -11,7 +12,9 @@ in Spark's own operators:
 * positional filter: from the place of a shared word in both orders, the rest of either
   side must still reach t.
 
-Survivors are verified by intersecting the two sets. The templates are a parameter; the
+Survivors are verified by intersecting the two sets. For windows, whole texts are joined in
+the same way, and of a pair that survives every window that starts with a template word is
+verified; other windows hold no more. The templates are a parameter; the
 index built from them is broadcast only up to ``MAX_INDEX`` rows and shuffled beyond.
 
 Null text counts as empty: no words, no labels, score 0. Repeated rows each keep their own
@@ -63,6 +66,11 @@ def template_words(text: str) -> list[str]:
     return list(dict.fromkeys(re.findall(PLAIN_WORD, lower)))
 
 
+def template_length(text: str) -> int:
+    """Words of a template, repeated ones included."""
+    return len(re.findall(PLAIN_WORD, "".join(c.lower() if c.isascii() else c for c in text)))
+
+
 def needed(size: int, threshold: float) -> int:
     """Words a block must share with a template of that many words."""
     return max(1, math.ceil(threshold * size - 1e-9))
@@ -83,41 +91,31 @@ def global_order(docs: DataFrame, vocabulary: list[str], text: str = "text") ->
     return sorted(vocabulary, key=lambda w: (found.get(w, 0), w))
 
 
-def license_matches(
-    docs: DataFrame,
-    keys: list[Column],
-    templates: list[tuple[str, str]] = TEMPLATES,
-    threshold: float = THRESHOLD,
-    text: str = "text",
-) -> DataFrame:
-    """One row per matching (block, template): keys, block number, block, template number, label, containment."""
-    spark = docs.sparkSession
+def _index(docs: DataFrame, templates: list[tuple[str, str]], threshold: float, text: str) -> tuple[DataFrame, DataFrame, list[str], int]:
+    """Rows of the prefix index; ``docs`` whose text holds a prefix word; the global order; the fewest words of a match."""
     sets = [template_words(t) for _, t in templates]
-    vocabulary = sorted({w for s in sets for w in s})
-    order = global_order(docs, vocabulary, text)
+    order = global_order(docs, sorted({w for s in sets for w in s}), text)
     rank = {w: i for i, w in enumerate(order)}
     index = []
-    for no, (label, _) in enumerate(templates):
+    for no, (label, wording) in enumerate(templates):
         words = sorted(sets[no], key=rank.__getitem__)
         t = needed(len(words), threshold)
         for i in range(len(words) - t + 1 if words else 0):
-            index.append((words[i], no, label, i, len(words), t, words))
-    schema = "word string, template int, label string, i int, size int, t int, wanted array<string>"
-    prefixes = spark.createDataFrame(index, schema)
+            index.append((words[i], no, label, i, len(words), t, words, template_length(wording)))
+    schema = "word string, template int, label string, i int, size int, t int, wanted array<string>, length int"
+    prefixes = docs.sparkSession.createDataFrame(index, schema)
     if len(index) <= MAX_INDEX:
         prefixes = F.broadcast(prefixes)
-
     first_words = sorted({row[0] for row in index}) or [""]
     guard = "(?:^|[^0-9a-z\\x{80}-\\x{10FFFF}])(?:" + "|".join(first_words) + ")(?:$|[^0-9a-z\\x{80}-\\x{10FFFF}])"
-    blocks = (
-        docs.select(*keys, text_of(text).alias("_text"))
-        .where(ascii_lower(F.col("_text")).rlike(guard))  # the prefix filter for a text as a whole
-        .select("*", F.posexplode(F.split("_text", "\n", -1)).alias("block_no", "block"))
-        .drop("_text")
-        .withColumn("_held", F.array_intersect(F.lit(order), words_of(ascii_lower(F.col("block")))))
-    )
-    pairs = (
-        blocks.where(F.size("_held") >= min([row[5] for row in index], default=1))
+    # the prefix filter for a text as a whole
+    return prefixes, docs.where(ascii_lower(text_of(text)).rlike(guard)), order, min([row[5] for row in index], default=1)
+
+
+def _pairs(blocks: DataFrame, prefixes: DataFrame, least: int) -> DataFrame:
+    """Pairs of blocks (``_held``: their template words in order) and templates; adds ``_both``, the words they share."""
+    return (
+        blocks.where(F.size("_held") >= least)
         .select("*", F.posexplode("_held").alias("_j", "word"))
         .join(prefixes, "word")
         .where((F.size("_held") >= F.col("t")) & (F.least(F.col("size") - F.col("i"), F.size("_held") - F.col("_j")) >= F.col("t")))
@@ -125,8 +123,45 @@ def license_matches(
         # a pair meets once for each shared prefix word; the first of them speaks for it
         .where((F.size("_both") >= F.col("t")) & (F.element_at("_both", 1) == F.col("word")))
     )
-    names = [c for c in blocks.columns if c not in ("_held", "block_no", "block")]
-    return pairs.select(*names, "block_no", "block", "template", "label", (F.size("_both") / F.col("size")).alias("containment"))
+
+
+def license_matches(
+    docs: DataFrame,
+    keys: list[Column],
+    templates: list[tuple[str, str]] = TEMPLATES,
+    threshold: float = THRESHOLD,
+    text: str = "text",
+) -> DataFrame:
+    """One row per matching (block, template): keys, block number, block, template number, label, containment.
+
+    Windows are blocks without a number; of a text's windows the best one for a template is given.
+    """
+    prefixes, maybe, order, least = _index(docs, templates, threshold, text)
+    held = lambda words: F.array_intersect(F.lit(order), words)
+    texts = maybe.select(*keys, text_of(text).alias("_text"))
+    names = [c for c in texts.columns if c != "_text"]
+    blocks = (
+        texts.select("*", F.posexplode(F.split("_text", "\n", -1)).alias("block_no", "block"))
+        .drop("_text")
+        .withColumn("_held", held(words_of(ascii_lower(F.col("block")))))
+    )
+    lines = _pairs(blocks, prefixes, least).select(*names, "block_no", "block", "template", "label", (F.size("_both") / F.col("size")).alias("containment"))
+
+    whole = texts.where(F.col("_text").contains("\n")).withColumn("_words", words_of(ascii_lower(F.col("_text")))).drop("_text")
+    near = _pairs(whole.withColumn("_held", held(F.col("_words"))), prefixes, least)
+    starts = F.filter(F.sequence(F.lit(1), F.size("_words")), lambda k: F.array_contains("wanted", F.element_at("_words", k)))
+    window = lambda k: F.slice("_words", k, F.col("length"))
+    # the later of two equal windows is taken
+    best = F.array_max(F.transform(starts, lambda k: F.struct(F.size(F.array_intersect(window(k), "wanted")).alias("n"), k.alias("at"))))
+    windows = (
+        near.withColumn("_best", best)
+        .where(F.col("_best.n") >= F.col("t"))
+        .select(
+            *names, F.lit(None).cast("int").alias("block_no"), F.array_join(window(F.col("_best.at")), " ").alias("block"),
+            "template", "label", (F.col("_best.n") / F.col("size")).alias("containment"),
+        )
+    )
+    return lines.unionByName(windows)
 
 
 def phrase_places(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -43,6 +43,25 @@ def test_html_blocks_and_layouts(spark):
     assert extract(rows.limit(0)).count() == 0
 
 
+def test_html_end_tags_find_deep_elements():
+    def said(source):
+        return [text for _, text in parse(source).runs], sum(parse(source).linked)
+
+    for shapes in (3, 12, 400):
+        for silent in (
+            "<svg>" + "<path d='M 0/'/>" * shapes + "</svg>",
+            "<svg>" + "<path>" * shapes + "</svg>",
+            "<svg><style/>" + "<g><circle r=1 /></g>" * shapes + "</svg>",
+            "<svg/>" * shapes,
+            "<select>" + "<option>o" * shapes + "</select>",
+            "<select>" + "<optgroup><option>o" * shapes + "</select>",
+        ):
+            assert said(f"<body><article>before {silent} after</article>") == (["before after"], 0)
+        assert said("<p><a href=/x>" + "<b>" * shapes + "in</a> out</p>") == (["in out"], 2)
+    assert said("<p><span/>a</span> b") == (["a b"], 0)  # no slash outside svg closes
+    assert said("<p>" + "<option>o " * 20 + "</p><p>a") == (["a"], 0)
+
+
 def test_html_marginals_on_unseen_layouts():
     model, unseen = train(labelled_pages(200)), labelled_pages(60, 77)
     right = [text == "\n".join(t for node, t in p.runs if p.label[node]) for p, text in zip(unseen, main_text(unseen, model), strict=True)]

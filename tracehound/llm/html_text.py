@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -43,8 +44,10 @@ BLOCKS = set(
     "td th caption blockquote pre figure figcaption form fieldset address details summary dialog hgroup center".split()
 )
 CLOSES_P = BLOCKS - set("html body td th caption".split())
-SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}}
 SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
+SCOPE |= {"option": BLOCKS | {"select", "datalist", "optgroup"}, "optgroup": BLOCKS | {"select", "datalist"}}
+FOREIGN = ("svg", "math")  # a slash at a tag's end closes the element in there only
 
 SPEAKING = set("main article section nav aside header footer form dialog address".split())
 
@@ -84,6 +87,7 @@ def parse(source: str) -> Page:
     """Block elements of a page and the text runs between their edges."""
     page, held, letters = Page(), [], 0
     stack: list[tuple[str, int]] = []  # open elements; block elements with their node, others with the node they are in
+    opened: dict[str, list[int]] = defaultdict(list)  # by tag: places on the stack
 
     def add(tag: str, names: str, label: int) -> int:
         page.parent.append(stack[-1][1] if stack else -1)
@@ -107,17 +111,25 @@ def parse(source: str) -> Page:
         if any(t in BLOCKS for t, _ in stack[k:]):
             flush()
         for tag, _ in stack[k:]:
+            opened[tag].pop()
             links -= tag == "a"
             silent -= tag in SILENT
         del stack[k:]
 
+    def push(tag: str, node: int) -> None:
+        opened[tag].append(len(stack))
+        stack.append((tag, node))
+
     def close(tag: str, scope: set[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] == tag:
-                return pop_to(k)
-            if stack[k][0] in scope:
-                return None
-        return None
+        """Close the innermost element of that tag, unless one of ``scope`` is open in it."""
+        if opened.get(tag) and not any(opened[t][-1] > opened[tag][-1] for t in scope if opened.get(t)):
+            pop_to(opened[tag][-1])
+
+    def self_closed(tag: str, marks: str) -> bool:
+        if not marks.endswith("/") or not (tag in FOREIGN or any(opened.get(t) for t in FOREIGN)):
+            return False
+        last = marks.split()[-1]  # a bare value takes the slash
+        return "=" not in last or last[-2] in "\"'="
 
     def say(raw: str) -> None:
         nonlocal letters
@@ -139,8 +151,9 @@ def parse(source: str) -> Page:
         if not tag:
             continue
         if m[1]:
-            if tag in BLOCKS or any(t == tag for t, _ in stack[-12:]):
-                close(tag, set() if tag in BLOCKS else {"td", "th", "body"})
+            close(tag, set() if tag in BLOCKS else {"td", "th", "body"})
+            continue
+        if self_closed(tag, m[3]):
             continue
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(source, at)
@@ -161,11 +174,11 @@ def parse(source: str) -> Page:
                 continue
             label = int(marks.get("data-label") or page.label[stack[-1][1]])
             node = add(tag, " ".join(marks.get(k, "") for k in ("class", "id", "role")), label)
-            stack.append((tag, node))
+            push(tag, node)
         else:
             links += tag == "a"
             silent += tag in SILENT
-            stack.append((tag, stack[-1][1]))
+            push(tag, stack[-1][1])
     flush()
     return page
 

@@ -13,6 +13,7 @@ from querybook.oracle import threshold_alerts, with_ctes
 from querybook.parsing import _WEB_ENDPOINT, _WEB_IP, _WEB_OK, _URL, sql_base64, sql_html
 from tracehound.operators.rules import ThresholdRule
 from tracehound.runtime import scratch_path
+from tracehound.schema import group_of
 from tracehound.streaming import live, stateful
 
 _RULES = log_rules()
@@ -112,17 +113,35 @@ def _(x):
 _PARTS = [(1, 8), (9, 16), (17, 24), (25, 31)]
 
 
-def _run_in_parts(x: Inputs, make: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+def _late(x: Inputs, rule: ThresholdRule) -> DataFrame:
+    """event_seq of the events that come one part late: the last half hour of each part.
+
+    The last event of an address comes in time, before older ones, unless events from
+    before the half hour could count with it: the rule would fire on it too soon.
+    """
+    left = 86_400 - (F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts"))
+    tail = x.ev.where(F.dayofmonth("ts").isin([last for _, last in _PARTS[:-1]]) & (left <= 1800))
+    day = F.dayofmonth("ts").alias("day")
+    lasts = tail.where(rule.predicate(tail)).groupBy(day, group_of(F.col(rule.group_by)).alias("grp")).agg(F.max(F.struct("ts", "event_seq")).alias("l"))
+    soon = lasts.select("l.ts", "l.event_seq").where(left < 1800 - rule.window_seconds)
+    return tail.select("event_seq").join(soon.select("event_seq"), "event_seq", "left_anti").withColumn("_late", F.lit(1))
+
+
+def _run_in_parts(x: Inputs, make: Callable[[DataFrame], DataFrame], name: str, late: DataFrame | None = None) -> DataFrame:
     """Land the stored events part by part and run the same stream after each.
 
-    Offsets and state live in one checkpoint, so later parts meet the state of the
+    ``late`` has the event_seq of events that come one part later than their time says. Offsets and state live in one checkpoint, so later parts meet the state of the
     earlier ones, and the order does not hang on file times.
     """
     source, out = scratch_path(x.spark, "event-stream"), scratch_path(x.spark, name)
     offsets = scratch_path(x.spark, "offsets")
     result = None
+    ev = x.ev.withColumn("_late", F.lit(0)) if late is None else x.ev.join(late, "event_seq", "left")
+    before = F.lit(False)
     for first, last in _PARTS:
-        x.ev.where(F.dayofmonth("ts").between(first, last)).write.mode("append").parquet(source)
+        own, is_late = F.dayofmonth("ts").between(first, last), F.coalesce("_late", F.lit(0)) == 1
+        ev.where((own & ~is_late) | (before & is_late)).select(*x.ev.columns).write.mode("append").parquet(source)
+        before = own
         result = make(x.spark.readStream.schema(x.ev.schema).parquet(source))
         q = (
             result.writeStream.format("parquet").option("path", out)
@@ -136,7 +155,7 @@ def _run_in_parts(x: Inputs, make: Callable[[DataFrame], DataFrame], name: str)
 @query("stream_threshold_stateful", with_ctes(
     f"SELECT ip_group AS grp, event_seq, ts FROM ({threshold_alerts(_LOGIN, _LOGIN_NO)}) t", "ev"))
 def _(x):
-    return _run_in_parts(x, lambda ev: stateful.stream_threshold(ev, _LOGIN, "1 hour"), "stateful")
+    return _run_in_parts(x, lambda ev: stateful.stream_threshold(ev, _LOGIN, "1 hour"), "stateful", _late(x, _LOGIN))
 
 
 @query("stream_chains")

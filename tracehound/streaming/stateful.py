@@ -16,16 +16,19 @@ from tracehound.operators.rules import RULES, Rule, ThresholdRule, regex_rules
 from tracehound.schema import group_of, micros
 
 _ALERT = "grp string, event_seq long, t long"
-_STATE = "times array<long>, fired boolean"
+_STATE = "times array<long>, seqs array<long>, fired boolean"
 
 
 def stream_threshold(events: DataFrame, rule: ThresholdRule, watermark: str = "10 minutes") -> DataFrame:
     """One row per group when it first reaches the threshold, across batches.
 
-    State per group: the last ``threshold - 1`` times and whether it has fired. A group
-    that has not fired is forgotten once the watermark has passed its last event by the
-    window, when no later event can count with it. Late events are dropped by the
-    watermark.
+    State per group: whether it has fired, and else the events that a late one can still
+    count with: those newer than the watermark less the window, and the ``threshold - 1``
+    before them. A group that has not fired has fewer than ``threshold`` events in any
+    window, so these are few. It is forgotten once the watermark has passed its last event
+    by the window. Events before the watermark are dropped; one that is late but inside it
+    can complete a crossing that ends on a remembered event. A group fires on the earliest
+    crossing among the events that have arrived by then.
     """
     need, width = rule.threshold - 1, rule.window_seconds * 1_000_000
 
@@ -35,11 +38,11 @@ def stream_threshold(events: DataFrame, rule: ThresholdRule, watermark: str = "1
         if state.hasTimedOut:
             state.remove()
             return
-        times, fired = state.get if state.exists else ([], False)
+        times, seqs, fired = state.get if state.exists else ([], [], False)
         if fired:
             return
         t = np.asarray(times, dtype=np.int64)
-        seq = np.full(len(t), -1, dtype=np.int64)
+        seq = np.asarray(seqs, dtype=np.int64)
         hit = None
         for chunk in chunks:
             # chunks come in any order; rows after the earliest crossing so far are useless
@@ -49,16 +52,18 @@ def stream_threshold(events: DataFrame, rule: ThresholdRule, watermark: str = "1
             t, seq = t[order], seq[order]
             if len(t) <= need:
                 continue
-            crossings = np.flatnonzero((t[need:] - t[: len(t) - need] <= width) & (seq[need:] >= 0))
+            crossings = np.flatnonzero(t[need:] - t[: len(t) - need] <= width)
             if len(crossings):
                 end = int(crossings[0]) + need
                 hit = (int(t[end]), int(seq[end]))
                 t, seq = t[: end + 1], seq[: end + 1]
         if hit:
-            state.update(([], True))
+            state.update(([], [], True))
             yield pd.DataFrame({"grp": [key[0]], "event_seq": [hit[1]], "t": [hit[0]]})
             return
-        state.update((t[len(t) - min(need, len(t)):].tolist(), False))
+        recent = int(np.searchsorted(t, state.getCurrentWatermarkMs() * 1000 - width))
+        kept = slice(max(0, min(recent, len(t)) - need), None)
+        state.update((t[kept].tolist(), seq[kept].tolist(), False))
         if len(t):
             expires = int(t[-1]) // 1000 + rule.window_seconds * 1000 + 1
             state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))

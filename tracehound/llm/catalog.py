@@ -1,7 +1,7 @@
 """All queries of this subpackage."""
 
 import corpus_pipeline
-from tracehound.llm import chat, chosen_path, decontaminate, fertility, html_text, importance, licenses, mixing, repeats, secrets, toxicity  # noqa: F401  register their queries
+from tracehound.llm import alignment, chat, chosen_path, decontaminate, fertility, html_text, importance, licenses, mixing, repeats, secrets, topk, toxicity  # noqa: F401  register their queries
 from tracehound.llm.common import ORACLE, QUERIES
 
 QUERIES["pipeline"] = corpus_pipeline.run

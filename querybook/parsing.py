@@ -14,7 +14,7 @@ from tracehound.operators import parse_auth as pa
 from tracehound.operators import parse_json as pj
 from tracehound.operators import parse_web as pw
 from tracehound.runtime import scratch_path
-from tracehound.sources.json_layouts import json_layout, json_objects
+from tracehound.sources.json_layouts import json_documents, scan_json_events
 from tracehound.sources.lines import file_catalog, scan_log_lines
 
 
@@ -346,21 +346,41 @@ def _(x):
         F.sum("size_bytes").alias("size_bytes"), F.sum("lines").alias("lines"))
 
 
-# Objects one per line, pretty-printed over several lines, or as one array per file.
-_LAYOUT_LINES = f"""SELECT source_file, event_seq * 100 + i AS line_number, event_seq * 100 + i AS event_seq,
-  CASE WHEN layout = 2 AND i = 0 THEN concat(CASE WHEN first THEN '[' ELSE ',' END, part) WHEN layout = 2 AND i = n - 1 AND last THEN concat(part, ']') ELSE part END AS line
-FROM (SELECT *, size(parts) AS n, posexplode(parts) AS (i, part) FROM (
-  SELECT *, CASE WHEN layout = 0 THEN array(j) ELSE split(j, '(?<=,) ') END AS parts,
-    event_seq = min(event_seq) OVER (PARTITION BY source_file) AS first, event_seq = max(event_seq) OVER (PARTITION BY source_file) AS last
-  FROM (SELECT source_file, event_seq, file_kind % 3 AS layout, {JSON_LINE} AS j FROM {{lines}} WHERE file_kind % 3 = 0 OR event_seq % 11 <> 10) a) b) c"""
+# By kind of file: objects one per line; below a banner, over several lines or two on one;
+# an array over many lines; an array on one line. Every object has quotes and braces in a string.
+_NOTED = "concat(chr(123), ' \"note\": \"say ', chr(92), '\"', chr(125), ' ', chr(123), chr(92), '\" \",', substr(" + JSON_LINE + ", 2))"
+_LAYOUT_LINES = f"""WITH objects AS (
+  SELECT source_file, event_seq, file_kind, {_NOTED} AS j, event_seq = min(event_seq) OVER (PARTITION BY source_file) AS first,
+    event_seq = max(event_seq) OVER (PARTITION BY source_file) AS last
+  FROM {{lines}} WHERE file_kind = 0 OR event_seq % 11 <> 10),
+parted AS (
+  SELECT *, CASE WHEN file_kind = 0 THEN array(j)
+    WHEN file_kind = 1 AND event_seq % 4 = 3 THEN array(concat(j, ' ', replace(j, '"username": "u', '"username": "v')))
+    ELSE split(j, '(?<=,) ') END AS own
+  FROM objects WHERE file_kind < 3),
+framed AS (
+  SELECT source_file, event_seq, CASE WHEN file_kind = 1 AND first THEN concat(array('[boot] service started'), own)
+    WHEN file_kind = 2 THEN concat(array(if(first, '[', ',')), own, if(last, array(']'), array())) ELSE own END AS parts
+  FROM parted)
+SELECT source_file, event_seq * 100 + i AS line_number, event_seq * 100 + i AS event_seq, part AS line FROM (SELECT *, posexplode(parts) AS (i, part) FROM framed)
+UNION ALL
+SELECT source_file, min(event_seq), min(event_seq) * 100, concat('[', array_join(array_sort(collect_list(struct(event_seq, j))).j, ', '), ']')
+FROM objects WHERE file_kind = 3 GROUP BY source_file"""
+_LAYOUT_OBJECTS = f"""SELECT file_kind, concat('u', k) AS user, endpoint_raw AS endpoint FROM lines WHERE {_JSON_OK}
+  UNION ALL SELECT file_kind, concat('v', k), endpoint_raw FROM lines WHERE {_JSON_OK} AND file_kind = 1 AND event_seq % 4 = 3"""
 
 
 @query("scan_json_events", with_ctes(
-    f"""SELECT CASE file_kind % 3 WHEN 0 THEN 'ndjson' WHEN 1 THEN 'objects' ELSE 'array' END AS layout, concat('u', k) AS user, endpoint_raw AS endpoint, count(*) AS n
-    FROM lines WHERE {_JSON_OK} GROUP BY ALL""", "lines"))
+    """SELECT CASE file_kind WHEN 0 THEN 'ndjson' WHEN 1 THEN 'objects' ELSE 'array' END AS layout, "user", endpoint, count(*) AS n FROM obj GROUP BY ALL
+    UNION ALL SELECT 'files' AS layout, "user", endpoint, count(*) AS n FROM obj WHERE file_kind > 0 GROUP BY ALL""", "lines", extra={"obj": _LAYOUT_OBJECTS}))
 def _(x):
     lines = x.spark.sql(_LAYOUT_LINES, lines=x.lines_wide)
-    objects = json_objects(lines).join(json_layout(lines), "source_file")
+    path = scratch_path(x.spark, "json-files")
+    kinds = x.lines_wide.where("file_kind > 0").select("source_file").distinct()
+    written = lines.join(kinds, "source_file", "left_semi").repartition("source_file").sortWithinPartitions("source_file", "line_number")
+    written.select("source_file", F.col("line").alias("value")).write.partitionBy("source_file").text(path)
+    found = json_documents(lines).select("layout", "line").unionByName(
+        scan_json_events(x.spark, path).select(F.lit("files").alias("layout"), "line"))
     obj = pj.json_object(F.col("line"))
-    return objects.select("layout", obj["username"].alias("user"), obj["path"].alias("endpoint")).groupBy(
+    return found.select("layout", obj["username"].alias("user"), obj["path"].alias("endpoint")).groupBy(
         "layout", "user", "endpoint").agg(F.count(F.lit(1)).alias("n"))

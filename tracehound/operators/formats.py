@@ -15,7 +15,7 @@ from tracehound.operators.parse_json import json_object, parse_json
 from tracehound.operators.parse_web import is_web_line, parse_web_access
 from tracehound.runtime import materialize
 from tracehound.schema import EVENT_COLUMNS
-from tracehound.sources.json_layouts import json_objects
+from tracehound.sources.json_layouts import EXTRA_BASE, json_objects
 from tracehound.sources.lines import file_name
 
 # Sample sizes in lines and the confidence a format needs.
@@ -42,8 +42,8 @@ def _is_json_line(line: Column) -> Column:
     return json_object(line).isNotNull()
 
 
-def _parse_json_lines(lines: DataFrame, **options) -> DataFrame:
-    return parse_json(json_objects(lines), **options)
+def _parse_json_lines(lines: DataFrame, extra_base: int = EXTRA_BASE, **options) -> DataFrame:
+    return parse_json(json_objects(lines, extra_base), **options)
 
 
 FORMATS: dict[str, LogFormat] = {

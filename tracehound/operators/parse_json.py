@@ -32,12 +32,21 @@ LEVEL_NAMES = {
 }
 
 
+def _more_behind(text: Column) -> Column:
+    """Whether a closing brace outside strings is followed by anything but a comma or a closing one."""
+    behind = F.lit(r"\}\s*[^\s,}\]]")
+    # strings are only taken out where the whole text gives cause
+    outside = F.regexp_replace(text, r'"(?:\\.|[^"\\])*"', '""')
+    return F.regexp_like(text, behind) & F.regexp_like(outside, behind)
+
+
 def json_object(text: Column) -> Column:
     """Top-level fields of a JSON object as text, NULL for anything else.
 
-    A repeated name keeps its last value.
+    A repeated name keeps its last value. The built-in parser stops behind the first object,
+    so text with another one behind it is told apart by what follows a closing brace.
     """
-    looks_like_one = F.startswith(text, F.lit("{")) & F.endswith(text, F.lit("}"))
+    looks_like_one = F.startswith(text, F.lit("{")) & F.endswith(text, F.lit("}")) & ~_more_behind(text)
     parsed = F.from_json(text, "map<string,string>")
 
     def last_wins(m: Column) -> Column:

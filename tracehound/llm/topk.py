@@ -78,20 +78,19 @@ def _matrix(cells: pa.Array, dims: int) -> np.ndarray:
 
 
 def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of the rows of ``a`` with the rows of ``b``, pair by pair."""
+    """Inner products of all rows of ``a`` with all rows of ``b``."""
     with np.errstate(over="ignore", invalid="ignore"):
         largest = np.sqrt((a * a).sum(1).max(initial=0) * (b * b).sum(1).max(initial=0))
     if largest < _EXACT:  # no partial sum can leave the whole numbers a double holds
-        return np.einsum("ij,ij->i", a, b).astype(np.int64)
-    sums = (sum(int(x) * int(y) for x, y in zip(p, q)) for p, q in zip(a, b))
-    return np.array([min(max(s, -_LONG - 1), _LONG) for s in sums], np.int64)
+        return (a @ b.T).astype(np.int64)
+    whole = [[int(x) for x in row] for row in b]
+    sums = [[sum(int(x) * y for x, y in zip(p, q)) for q in whole] for p in a]
+    return np.array([[min(max(s, -_LONG - 1), _LONG) for s in row] for row in sums], np.int64).reshape(len(a), len(b))
 
 
-def _kth(scores: np.ndarray, k: int) -> np.ndarray:
-    """The k-th best of each row; minus infinity where there are fewer."""
-    if scores.shape[1] < k:
-        return np.full(len(scores), -np.inf)
-    return np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
+def _best(scores: np.ndarray, k: int) -> np.ndarray:
+    """The k best of each row, in any order."""
+    return np.partition(scores, scores.shape[1] - k, axis=1)[:, -k:]
 
 
 class Block:
@@ -131,16 +130,15 @@ class Block:
                     alive &= ~(bound < low[active, None])
                     if not alive.any():
                         break
-                at, to = np.nonzero(alive)
-                if not len(at):
+                asked, met = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
+                if not len(asked):
                     continue
-                scores = exact_scores(queries[active[at]], self.vectors[start + to])
-                found = np.full(alive.shape, -np.inf)
-                found[at, to] = scores
-                best[active] = np.sort(np.concatenate([best[active], found], axis=1), axis=1)[:, -k:]
-                floors[active] = np.maximum(floors[active], best[active, 0])
-                keep = scores >= low[active[at]]
-                yield active[at[keep]], start + to[keep], scores[keep]
+                scores = exact_scores(queries[active[asked]], self.vectors[start + met])
+                alive, asked = alive[np.ix_(asked, met)], active[asked]
+                best[asked] = _best(np.concatenate([best[asked], np.where(alive, scores, -np.inf)], axis=1), k)
+                floors[asked] = np.maximum(floors[asked], best[asked].min(1))
+                at, to = np.nonzero(alive & (scores >= low[asked, None]))
+                yield asked[at], start + met[to], scores[at, to]
 
 
 def _with_needs(queries: DataFrame, head: pa.Table, dims: int, k: int, longest: np.ndarray) -> DataFrame:
@@ -149,11 +147,13 @@ def _with_needs(queries: DataFrame, head: pa.Table, dims: int, k: int, longest:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            floors = []
-            for own, v in zip(batch.column("_row").to_numpy(), _matrix(batch.column("v"), dims)):
-                scores = exact_scores(np.broadcast_to(v, vectors.shape), vectors)[rows != own].astype(float)
-                floors.append(_kth(scores[None], k)[0])
-            floors = np.array(floors, float)
+            floors = np.full(batch.num_rows, -np.inf)
+            for start in range(0, batch.num_rows, _QUERIES):
+                own = batch.column("_row").to_numpy()[start : start + _QUERIES]
+                scores = exact_scores(_matrix(batch.column("v")[start : start + _QUERIES], dims), vectors)
+                scores = np.where(own[:, None] == rows[None], -np.inf, scores)
+                if scores.shape[1] >= k:
+                    floors[start : start + _QUERIES] = _best(scores, k).min(1)
             lengths = batch.column("length").to_numpy()
             with np.errstate(over="ignore", invalid="ignore"):
                 # blocks fall in length: those that reach the floor come first

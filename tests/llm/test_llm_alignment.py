@@ -124,6 +124,26 @@ def test_byte_table_is_the_one_of_the_vocabulary():
     assert set(letters) <= set(a.get_vocab())
 
 
+def test_encoding_by_rank_gives_the_ids_of_the_vocabulary(vocabularies):
+    """The split before the merges depends on classes of characters only: try every character."""
+    encoders = alignment.Encoders(vocabularies)
+    assert encoders.by_rank
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for start in range(0, len(chars), 50_000):
+        texts = [f"a{c}b 1{c}2 .{c}, {c}  {c}" for c in chars[start : start + 50_000]]
+        want = [e.ids for e in encoders.a.encode_batch_fast(texts, add_special_tokens=False)]
+        assert list(encoders.encode_a(texts)) == want
+
+
+def test_a_vocabulary_in_another_order_is_not_encoded_by_rank(vocabularies):
+    import json
+
+    vocabulary, letters = json.loads(vocabularies.a), alignment.byte_letters()
+    assert len(alignment.ranked(vocabulary, letters)) == 50_256
+    vocabulary["model"]["merges"][:2] = vocabulary["model"]["merges"][1::-1]
+    assert alignment.ranked(vocabulary, letters) is None
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 1000, 70_000])
 def test_perfect_hash_is_minimal(n):
     keys = np.unique(np.random.default_rng(n).integers(-(2**62), 2**62, n))

@@ -26,6 +26,7 @@ documents of their own; empty tables give no rows. Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -74,18 +75,44 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+# Fixed value: how byte-level vocabularies of this kind split text before the merges.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def ranked(vocabulary: dict, letters: dict[str, int]) -> dict[bytes, int] | None:
+    """Bytes to id of a vocabulary whose ids are its merge ranks, else None.
+
+    Such a vocabulary can be encoded by rank, four times as fast and with the same ids.
+    """
+    split = vocabulary.get("pre_tokenizer") or {}
+    model = vocabulary["model"]
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+    if not plain or vocabulary.get("normalizer") or model.get("type") != "BPE" or model.get("ignore_merges"):
+        return None
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [model["vocab"].get(a + b) for a, b in merges]
+    special = {t["content"] for t in vocabulary.get("added_tokens", [])}
+    entries = {t: i for t, i in model["vocab"].items() if t not in special}
+    if None in made or made != sorted(set(made)) or len(entries) != len(made) + 256 or min(made, default=256) < 256:
+        return None
+    return {bytes(letters[c] for c in t): i for t, i in entries.items()}
+
+
 class Encoders:
     """Both vocabularies: ids of texts, and the bytes and decimal names of ids."""
 
     def __init__(self, vocabularies: Vocabularies):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_str(vocabularies.a.decode())
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=vocabularies.b)
         letters = byte_letters()
+        ranks = ranked(json.loads(vocabularies.a), letters)
+        self.by_rank = ranks and tiktoken.Encoding("a", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         entries = sorted((i, t) for t, i in self.a.get_vocab(with_added_tokens=True).items())
         a_bytes = [b""] * (entries[-1][0] + 1)
         for i, token in entries:
@@ -95,15 +122,19 @@ class Encoders:
         pieces = ((i, self.b.id_to_piece(i)) for i in range(self.b.vocab_size()))
         self.b_bytes = np.array([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_BLANK, " ").encode() for i, p in pieces], object)
         # the name of an id, then what follows it: a comma, or the end of its list
-        self.a_names = np.array([b"%d%s" % (i, end) for end in (b",", b"|") for i in range(len(a_bytes))], object)
-        self.b_names = np.array([b"%d%s" % (i, end) for end in (b",", b";") for i in range(len(self.b_bytes))], object)
+        self.a_names = np.array([b"%d%s" % (i, end) for i in range(len(a_bytes)) for end in (b",", b"|")], object)
+        self.b_names = np.array([b"%d%s" % (i, end) for i in range(len(self.b_bytes)) for end in (b",", b";")], object)
+
+    def encode_a(self, texts: list[str]) -> Iterator[list[int]]:
+        if self.by_rank:
+            return (self.by_rank.encode_ordinary(t) for t in texts)
+        return (e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False))
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         nothing = np.zeros(0, np.int32)
-        a = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        for text, x, y in zip(texts, a, self.b.encode(texts, num_threads=1)):
+        for text, x, y in zip(texts, self.encode_a([" " + t for t in texts]), self.b.encode(texts, num_threads=1)):
             whole = b" " + text.encode()
-            x, y = np.array(x.ids, np.int32), np.array(y, np.int32)
+            x, y = np.array(x, np.int32), np.array(y, np.int32)
             same = text and b"".join(self.a_bytes[x].tolist()) == whole == b"".join(self.b_bytes[y].tolist())
             yield (x, y) if same else (nothing, nothing)
 
@@ -118,29 +149,39 @@ def id_kinds(sizes: tuple[np.ndarray, np.ndarray]) -> list[type]:
     return [np.uint16 if len(s) <= 1 << 16 else np.uint32 for s in sizes]
 
 
-def ends(a: np.ndarray, b: np.ndarray, sizes: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.cumsum(sizes[0][a]), np.cumsum(sizes[1][b])
+_A_ENDS, _B_ENDS = 1, 2
+
+
+def marks(a: np.ndarray, b: np.ndarray, sizes: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """For each byte behind which a token ends, in order: whether one of A, of B, or both."""
+    a_ends, b_ends = np.cumsum(sizes[0][a]), np.cumsum(sizes[1][b])
+    ends = np.zeros(a_ends[-1], np.uint8)
+    ends[a_ends - 1] = _A_ENDS
+    ends[b_ends - 1] |= _B_ENDS
+    return ends[ends > 0]
 
 
 def links(a: np.ndarray, b: np.ndarray, sizes: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """One pair key (A id times the size of B, plus B id) for each overlap."""
-    a_ends, b_ends = ends(a, b, sizes)
-    every = np.union1d(a_ends, b_ends)
-    return a[np.searchsorted(a_ends, every)].astype(np.int64) * len(sizes[1]) + b[np.searchsorted(b_ends, every)]
+    ends = marks(a, b, sizes)
+    of_a, of_b = ends & _A_ENDS, ends >> 1
+    return a[np.cumsum(of_a, dtype=np.int32) - of_a].astype(np.int64) * len(sizes[1]) + b[np.cumsum(of_b, dtype=np.int32) - of_b]
 
 
 def group_text(a: np.ndarray, b: np.ndarray, sizes: tuple[np.ndarray, np.ndarray], encoders: Encoders) -> tuple[int, bytes]:
     """Number of groups, and ``a1,a2|b1;a3|b2,b3``."""
-    a_ends, b_ends = ends(a, b, sizes)
-    shared = np.intersect1d(a_ends, b_ends, assume_unique=True)
-    a_group, b_group = np.searchsorted(shared, a_ends), np.searchsorted(shared, b_ends)
-    a_last, b_last = np.append(a_group[1:] != a_group[:-1], True), np.append(b_group[1:] != b_group[:-1], True)
+    ends = marks(a, b, sizes)
+    both = ends == _A_ENDS | _B_ENDS
+    group = np.cumsum(both) - both
+    a_group, b_group = group[(ends & _A_ENDS) > 0], group[ends >= _B_ENDS]
+    a_size, b_size = np.bincount(a_group), np.bincount(b_group)
     # a token stands behind the tokens of its own kind before it and those of the other kind
     # in earlier groups; those of A come first within a group
     out = np.empty(len(a) + len(b), object)
-    out[np.arange(len(a)) + np.searchsorted(b_group, a_group)] = encoders.a_names[a + len(encoders.a_bytes) * a_last]
-    out[np.arange(len(b)) + np.searchsorted(a_group, b_group, "right")] = encoders.b_names[b + len(encoders.b_bytes) * b_last]
-    return len(shared), b"".join(out.tolist())[:-1]
+    a_last, b_last = both[(ends & _A_ENDS) > 0], both[ends >= _B_ENDS]
+    out[np.arange(len(a)) + (np.cumsum(b_size) - b_size)[a_group]] = encoders.a_names[2 * a + a_last]
+    out[np.arange(len(b)) + np.cumsum(a_size)[b_group]] = encoders.b_names[2 * b + b_last]
+    return len(a_size), b"".join(out.tolist())[:-1]
 
 
 _TOKENS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, a binary, b binary"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querybook.book import query
@@ -13,7 +13,6 @@ from querybook.oracle import threshold_alerts, with_ctes
 from querybook.parsing import _WEB_ENDPOINT, _WEB_IP, _WEB_OK, _URL, sql_base64, sql_html
 from tracehound.operators.rules import ThresholdRule
 from tracehound.runtime import scratch_path
-from tracehound.schema import group_of
 from tracehound.streaming import live, stateful
 
 _RULES = log_rules()
@@ -109,40 +108,32 @@ def _(x):
     return live.stream_latest(run_live(x)[0], 100).select("ts", "ip", "endpoint")
 
 
-# Days of the month that arrive together; each part is one batch, in time order.
+# Days of the month that arrive together; each part is one batch.
 _PARTS = [(1, 8), (9, 16), (17, 24), (25, 31)]
+_DELAY = 3000  # seconds an event is late at most; less than the watermark of an hour
+_END = "2100-01-01 00:00:00"
 
 
-def _late(x: Inputs, rule: ThresholdRule) -> DataFrame:
-    """event_seq of the events that come one part late: the last half hour of each part.
-
-    The last event of an address comes in time, before older ones, unless events from
-    before the half hour could count with it: the rule would fire on it too soon.
-    """
-    left = 86_400 - (F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts"))
-    tail = x.ev.where(F.dayofmonth("ts").isin([last for _, last in _PARTS[:-1]]) & (left <= 1800))
-    day = F.dayofmonth("ts").alias("day")
-    lasts = tail.where(rule.predicate(tail)).groupBy(day, group_of(F.col(rule.group_by)).alias("grp")).agg(F.max(F.struct("ts", "event_seq")).alias("l"))
-    soon = lasts.select("l.ts", "l.event_seq").where(left < 1800 - rule.window_seconds)
-    return tail.select("event_seq").join(soon.select("event_seq"), "event_seq", "left_anti").withColumn("_late", F.lit(1))
+def _arrives(df: DataFrame) -> Column:
+    """Day of the month on which an event arrives: up to 50 minutes late, those of March on the last one."""
+    late = F.timestamp_seconds(F.unix_seconds("ts") + F.pmod(F.xxhash64("event_seq"), F.lit(_DELAY)))
+    return F.when(F.month(late) > F.month("ts"), F.lit(31)).otherwise(F.dayofmonth(late))
 
 
-def _run_in_parts(x: Inputs, make: Callable[[DataFrame], DataFrame], name: str, late: DataFrame | None = None) -> DataFrame:
-    """Land the stored events part by part and run the same stream after each.
+def _run_in_parts(x: Inputs, tables: list[DataFrame], make: Callable[..., DataFrame], name: str) -> DataFrame:
+    """Land the rows of all tables part by part, late and shuffled, and run the same stream after each.
 
-    ``late`` has the event_seq of events that come one part later than their time says. Offsets and state live in one checkpoint, so later parts meet the state of the
-    earlier ones, and the order does not hang on file times.
+    Offsets and state live in one checkpoint, so later parts meet the state of the earlier
+    ones, and the order does not hang on file times. The last part is the end of the input.
     """
-    source, out = scratch_path(x.spark, "event-stream"), scratch_path(x.spark, name)
-    offsets = scratch_path(x.spark, "offsets")
+    sources = [scratch_path(x.spark, f"{name}-in{i}") for i in range(len(tables))]
+    out, offsets = scratch_path(x.spark, name), scratch_path(x.spark, "offsets")
     result = None
-    ev = x.ev.withColumn("_late", F.lit(0)) if late is None else x.ev.join(late, "event_seq", "left")
-    before = F.lit(False)
-    for first, last in _PARTS:
-        own, is_late = F.dayofmonth("ts").between(first, last), F.coalesce("_late", F.lit(0)) == 1
-        ev.where((own & ~is_late) | (before & is_late)).select(*x.ev.columns).write.mode("append").parquet(source)
-        before = own
-        result = make(x.spark.readStream.schema(x.ev.schema).parquet(source))
+    for part in [*_PARTS, None]:
+        for df, source in zip(tables, sources):
+            rows = stateful.end_of_input(x.spark, df.schema, _END) if part is None else df.where(_arrives(df).between(*part))
+            rows.write.mode("append").parquet(source)
+        result = make(*[x.spark.readStream.schema(df.schema).parquet(s) for df, s in zip(tables, sources)])
         q = (
             result.writeStream.format("parquet").option("path", out)
             .option("checkpointLocation", offsets).outputMode("append")
@@ -155,9 +146,11 @@ def _run_in_parts(x: Inputs, make: Callable[[DataFrame], DataFrame], name: str,
 @query("stream_threshold_stateful", with_ctes(
     f"SELECT ip_group AS grp, event_seq, ts FROM ({threshold_alerts(_LOGIN, _LOGIN_NO)}) t", "ev"))
 def _(x):
-    return _run_in_parts(x, lambda ev: stateful.stream_threshold(ev, _LOGIN, "1 hour"), "stateful", _late(x, _LOGIN))
+    return _run_in_parts(x, [x.ev], lambda ev: stateful.stream_threshold(ev, _LOGIN, "1 hour"), "stateful")
 
 
-@query("stream_chains")
+@query("stream_chains", with_ctes("SELECT ip, start_time, end_time, event_count FROM chains", "chains"))
 def _(x):
-    return _run_in_parts(x, lambda ev: stateful.stream_chains(ev, CHAIN_WINDOW, watermark="1 hour"), "chains")
+    # the batch chains know all alerts of an address, however far away
+    chains = lambda ev, al: stateful.stream_chains(ev, al, CHAIN_WINDOW, watermark="1 hour", horizon="40 days")
+    return _run_in_parts(x, [x.ev, x.al], chains, "chains")

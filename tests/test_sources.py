@@ -250,7 +250,8 @@ def test_live_feeds(spark, tmp_path):
     ev, al = run()
     assert ev.count() == 12 and al.count() == 4
     assert ev.select("event_seq").distinct().count() == 12
-    last = live.stream_stats(ev, al).orderBy("epoch").collect()[-1]
+    batches, files = (live.read_feed(spark, out, feed) for feed in ("batches", "files"))
+    last = live.stream_stats(batches, files).orderBy("epoch").collect()[-1]
     assert (last["files_watched"], last["events_processed"], last["alerts_generated"]) == (2, 12, 4)
     assert live.stream_latest(ev, 2).count() == 2
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracehound.functions.labels import human_size
 from tracehound.functions.text import trim_blank
+from tracehound.runtime import materialize
 
 # Fixed value: file types that count as logs.
 ALLOWED_EXTENSIONS = [".log", ".json", ".txt", ".csv"]
@@ -27,28 +28,51 @@ def raw_text(reader, path: str | list[str]) -> DataFrame:
     )
 
 
-def number_lines(text: DataFrame, seq_base: int | None = None, keep_blank: bool = False) -> DataFrame:
-    """``event_seq, source_file, line_number, line`` from ``raw_text`` rows.
+MAX_BROADCAST_BLOCKS = 500_000
+
 
-    Files stay splittable: each block numbers its own lines by their place in the task
-    that reads it, and the line counts of the earlier blocks are added. Only one row
-    per block goes through a window. Sequence numbers follow file name and line number.
+def line_blocks(text: DataFrame) -> DataFrame:
+    """One row per block that a task reads: its lines, and those before it in file and input.
+
+    Only this much of the input goes through a window. Blocks are the splits of the files, so
+    the table is some ten thousand times smaller than the input; it is stored.
     """
-    lines = text.withColumn("_pos", F.monotonically_increasing_id())
-    per_block = lines.groupBy("source_file", "_block").agg(
+    per_block = text.withColumn("_pos", F.monotonically_increasing_id()).groupBy("source_file", "_block").agg(
         F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n")
     )
     in_file = Window.partitionBy("source_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     overall = Window.orderBy("source_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_block.select(
-        "source_file", "_block", "_first",
+    return materialize(per_block.select(
+        "source_file", "_block", "_first", "_n",
         F.coalesce(F.sum("_n").over(in_file), F.lit(0)).alias("_off"),
-        # one row per block of input, a few bytes each
         F.coalesce(F.sum("_n").over(overall), F.lit(0)).alias("_seq"),
-    )
+    ))
+
+
+def beside_blocks(df: DataFrame, blocks: DataFrame, on: list[str]) -> DataFrame:
+    """Join with a table of one row per block or file: without a shuffle while it is small."""
+    small = blocks.count() <= MAX_BROADCAST_BLOCKS
+    return df.join(F.broadcast(blocks) if small else blocks, on)
+
+
+def number_lines(
+    text: DataFrame, seq_base: int = 0, keep_blank: bool = False, blocks: DataFrame | None = None, before: DataFrame | None = None
+) -> DataFrame:
+    """``event_seq, source_file, line_number, line`` from ``raw_text`` rows.
+
+    Files stay splittable: each block numbers its own lines by their place in the task that
+    reads it, and the line counts of the earlier blocks are added. Sequence numbers follow
+    file name and line number, after ``seq_base``. ``before`` holds ``source_file, lines`` of
+    files whose first lines came in earlier batches.
+    """
+    blocks = line_blocks(text) if blocks is None else blocks
+    if before is not None:
+        known = blocks.join(before, "source_file", "left")
+        blocks = known.withColumn("_off", F.col("_off") + F.coalesce("lines", F.lit(0))).drop("lines")
+    lines = text.withColumn("_pos", F.monotonically_increasing_id())
     place = F.col("_pos") - F.col("_first") + 1
-    out = lines.join(offsets, ["source_file", "_block"]).select(
-        (F.lit(seq_base or 0).cast("long") + F.col("_seq") + place).alias("event_seq"),
+    out = beside_blocks(lines, blocks, ["source_file", "_block"]).select(
+        (F.lit(seq_base).cast("long") + F.col("_seq") + place).alias("event_seq"),
         "source_file", (F.col("_off") + place).alias("line_number"), trim_blank(F.col("text")).alias("line"),
     )
     return out if keep_blank else out.where("line <> ''")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querybook.book import query
-from querybook.inputs import CHAIN_WINDOW
+from querybook.inputs import CHAIN_WINDOW, log_rules
 from querybook.oracle import q, with_ctes
 from tracehound.functions.ips import ip_to_long, is_private_ip
 from tracehound.functions.labels import report_time, score_band, status_class
@@ -15,8 +18,10 @@ from tracehound.operators import enrich as en
 from tracehound.operators import report as re
 from tracehound.operators import timeline as tl
 from tracehound.operators.detect import severity_counts
+from tracehound.operators.scoring import ScoreConfig
+from tracehound.plans.analyze import Options, analyze
 from tracehound.runtime import scratch_path
-from tracehound.schema import SEVERITY_LEVELS
+from tracehound.schema import SEVERITY_LEVELS, alert_order
 from tracehound.sources import incidents as inc
 
 # ---- enrichment ----------------------------------------------------------------------
@@ -123,15 +128,22 @@ def weekly(x):
     alerts = al.groupBy("incident_id").agg(F.count(F.lit(1)).alias("total_alerts"), *severity_counts())
     from tracehound.schema import severity_weight
 
+    kinds = al.groupBy("incident_id", "category").agg(
+        F.count(F.lit(1)).alias("count"), F.min_by("severity", alert_order()).alias("severity"), F.min(alert_order()).alias("first"))
+    # one entry per category
+    kinds = kinds.groupBy("incident_id").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("first", "category", "count", "severity"))),
+        lambda t: F.struct(t["category"].alias("type"), t["count"].alias("count"), t["severity"].alias("severity"))).alias("attack_types"))
     scores = al.groupBy("incident_id", "ip_group").agg(F.sum(severity_weight(F.col("severity"))).alias("w"))
     top = scores.groupBy("incident_id").agg(
         F.min(F.struct((-F.col("w")).alias("neg"), "ip_group")).alias("t"))
     rows = (
-        totals.join(alerts, "incident_id", "left").join(top, "incident_id", "left")
+        totals.join(alerts, "incident_id", "left").join(top, "incident_id", "left").join(kinds, "incident_id", "left")
         .select(
             "incident_id", "created_at", F.lit("analyzed").alias("status"), "total_events", "total_alerts",
             F.least(F.lit(100), -F.col("t.neg")).cast("int").alias("threat_score"), F.col("t.ip_group").alias("top_attacker_ip"),
             F.struct(*[F.coalesce(s, F.lit(0)).alias(s) for s in SEVERITY_LEVELS]).alias("alerts_by_severity"),
+            "attack_types",
         )
     )
     return rows, al
@@ -140,8 +152,7 @@ def weekly(x):
 def _store(x) -> str:
     root = scratch_path(x.spark, "incidents")
     rows, al = weekly(x)
-    inc.save_incident_rows(rows, root)
-    inc.save_incident_rows(al, root, "alerts")
+    inc.save_incidents({"alerts": al, inc.INCIDENT_TABLE: rows}, root)
     return root
 
 
@@ -152,14 +163,48 @@ def _inc(sql: str, *more: str) -> str:
     return with_ctes(sql, "week_ev", "week_al", *more, extra=INCIDENTS)
 
 
-@query("sink_incident", _inc("SELECT incident_id, rule_id, event_seq FROM week_al"))
+# Per stored table: rows, and a sum over a column.
+_STORED_SUMS = {
+    "events": "event_seq", "alerts": "event_seq", "attackers": "threat_score", "attacker_endpoints": "length(endpoint)",
+    "attacker_user_agents": "length(user_agent)", "chains": "event_count", "pattern_hits": "length(description)",
+    "graph_nodes": "length(id)", "graph_edges": "weight", "attack_types": "count", "files": "events", "incidents": "total_events",
+}
+_USED = "SELECT DISTINCT ip_group, {0} FROM ev WHERE {0} <> '' AND ip_group IN (SELECT ip_group FROM sus_ip)"
+_STORED_SQL = {
+    "events": "ev", "alerts": "al", "attackers": "prof", "chains": "chains", "pattern_hits": "hits", "graph_edges": "edges",
+    "attacker_endpoints": f"({_USED.format('endpoint')}) t", "attacker_user_agents": f"({_USED.format('user_agent')}) t",
+    "graph_nodes": "(SELECT concat('ip_', ip) AS id FROM prof UNION ALL SELECT id FROM ep_nodes UNION ALL SELECT DISTINCT target FROM res) t",
+    "attack_types": "(SELECT category, count(*) AS count FROM al GROUP BY 1) t",
+    "files": "(SELECT source, count(*) AS events FROM ev GROUP BY 1) t", "incidents": "(SELECT count(*) AS total_events FROM ev) t",
+}
+
+
+@query("sink_incident", with_ctes(" UNION ALL ".join(
+    f"SELECT '{t}' AS stored, count(*) AS n, CAST(coalesce(sum({c}), 0) AS BIGINT) AS total FROM {_STORED_SQL[t]}" for t, c in _STORED_SUMS.items()),
+    "prof", "chains", "hits", "edges", "ep_nodes", "res", "al", "sus_ip"))
 def _(x):
-    return inc.read_table(x.spark, _store(x), "alerts").select("incident_id", "rule_id", "event_seq")
+    root = scratch_path(x.spark, "incidents")
+    tables = analyze(x.ev, Options(rules=log_rules(), score=ScoreConfig(window_seconds=CHAIN_WINDOW)))
+    # stands for the report on files, which these events do not come from
+    tables["files"] = x.ev.groupBy("source").agg(F.count(F.lit(1)).alias("events"))
+    inc.save_incident(tables, root, "whole log")
+    read = [inc.incident_get(x.spark, root, "whole log", t).agg(
+        F.lit(t).alias("stored"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.expr(c)), F.lit(0)).cast("long").alias("total"))
+        for t, c in _STORED_SUMS.items()]
+    return reduce(DataFrame.unionByName, read)
+
+
+_KINDS_SQL = """SELECT incident_id, string_agg(concat(category, ':', n, ':', severity), ', ' ORDER BY f) AS attack_types FROM (
+ SELECT incident_id, category, count(*) AS n, arg_min(severity, (phase, ord_major, ord_minor)) AS severity, min((phase, ord_major, ord_minor)) AS f
+ FROM week_al GROUP BY 1, 2) k GROUP BY 1"""
 
 
-@query("incident_list", _inc(f"SELECT {_LISTED} FROM incidents ORDER BY created_at DESC"))
+@query("incident_list", _inc(
+    f"SELECT {_LISTED}, CRITICAL, HIGH, MEDIUM, LOW, coalesce(attack_types, '') AS attack_types FROM incidents LEFT JOIN ({_KINDS_SQL}) k USING (incident_id) ORDER BY created_at DESC"))
 def _(x):
-    return inc.incident_list(inc.read_table(x.spark, _store(x)))
+    rows = inc.incident_list(inc.read_table(x.spark, _store(x)))
+    kind = F.transform("attack_types", lambda t: F.concat_ws(":", t["type"], t["count"].cast("string"), t["severity"]))
+    return rows.select(*_LISTED.split(", "), "alerts_by_severity.*", F.array_join(kind, ", ").alias("attack_types"))
 
 
 @query("incident_get", _inc(f"SELECT {_LISTED}, CRITICAL, HIGH, MEDIUM, LOW FROM incidents WHERE incident_id = '2024-01-15'"))

@@ -187,6 +187,29 @@ def test_incident_round_trip(spark, tmp_path):
     assert inc.incident_count(inc.read_table(spark, root)).first()[0] == 1
 
 
+def test_a_failed_save_changes_nothing(spark, tmp_path):
+    folder = write_all(tmp_path / "logs")
+    root = str(tmp_path / "store")
+    tables = analyze_files(spark, str(folder / "shop-access.log"), Options())
+    inc.save_incident(tables, root, "a/b=c")
+    rows = {t: inc.incident_get(spark, root, "a/b=c", t).count() for t in [*inc.DETAIL_TABLES, inc.INCIDENT_TABLE]}
+    assert rows["alerts"] == 4 and rows["files"] == 1
+    broken = {**tables, "chains": tables["events"].withColumn("x", F.raise_error(F.lit("full disk")))}
+    with pytest.raises(Exception, match="full disk"):
+        inc.save_incident(broken, root, "a/b=c")
+    assert {t: inc.incident_get(spark, root, "a/b=c", t).count() for t in rows} == rows
+    staged = spark.read.parquet(f"{root}/alerts").count()
+    inc.incident_vacuum(spark, root)
+    assert spark.read.parquet(f"{root}/alerts").count() == rows["alerts"] < staged
+    inc.save_incident({**tables, "alerts": tables["alerts"].limit(1)}, root, "a/b=c")
+    assert inc.incident_get(spark, root, "a/b=c", "alerts").count() == 1
+    # rows just replaced stay for readers that have begun
+    assert spark.read.parquet(f"{root}/alerts").count() == 1 + rows["alerts"]
+    listed = inc.incident_list(inc.read_table(spark, root)).first()
+    assert listed["alerts_by_severity"]["CRITICAL"] + listed["alerts_by_severity"]["HIGH"] > 0
+    assert [t["type"] for t in listed["attack_types"]][:2] == ["SQL Injection", "Path Traversal"]
+
+
 # ---- ordering ------------------------------------------------------------------------
 
 

@@ -1,6 +1,7 @@
 """Threshold, chain and regex semantics against small brute-force versions."""
 
 import random
+import re
 from dataclasses import replace
 
 import pytest
@@ -123,6 +124,71 @@ def test_hot_group_in_one_cell(spark):
     assert got == {"hot": 400}
 
 
+def test_splits_follow_the_load(spark, monkeypatch):
+    """One address with nine tenths of the rows in one cell: no task gets twice the median."""
+    from tracehound.operators import detect
+
+    monkeypatch.setattr(detect, "MIN_SPLIT_ROWS", 100)
+    hot = spark.range(180_000).selectExpr("'hot' as grp", "id as event_seq", "0L as cell")
+    cold = spark.range(20_000).selectExpr("concat('c', id % 5000) as grp", "id + 180000 as event_seq", "id % 50 as cell")
+    salted = detect.with_salt(hot.unionByName(cold), ["grp", "cell"])
+    dealt = salted.repartition(4, "grp", "cell", "salt").groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    assert dealt.sum() == 200_000 and len(dealt) == 4 and dealt.max() <= 2 * dealt.median()
+    assert salted.where("grp <> 'hot'").agg(F.max("salt")).first()[0] == 0
+
+
+@pytest.mark.parametrize("n,w", [(5, 300), (1, 60), (2, 0)])
+def test_crossings_with_measured_splits(spark, monkeypatch, n, w):
+    from tracehound.operators import detect
+
+    monkeypatch.setattr(detect, "MIN_SPLIT_ROWS", 1)
+    rnd = random.Random(n)
+    rows = [(rnd.choice(["hot"] * 9 + ["a", "b"]), rnd.randint(0, 2000), i) for i in range(1500)]
+    df = spark.createDataFrame(rows, "grp string, s long, event_seq long").withColumn("t", F.col("s") * 1_000_000)
+    got = {r["grp"]: r["event_seq"] for r in first_crossings(df, n, w).collect()}
+    assert got == crossings(rows, n, w)
+
+
+def exchanged(df):
+    """Columns of every shuffle in the plan."""
+    text = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    return re.findall(r"\n\(\d+\) Exchange\s*\nInput[^:]*: \[([^\]]*)\]", text)
+
+
+def test_full_events_are_never_shuffled(spark, monkeypatch):
+    ev = spark.range(3000).selectExpr(
+        "id as event_seq", "timestamp_seconds(id * 7) as ts", "concat('10.0.0.', id % 9) as ip", "'GET' as method",
+        "if(id % 50 = 0, '/etc/passwd', '/login') as endpoint", "'app' as source", "if(id % 3 = 0, 401, 200) as status_code", "concat('line ', id) as raw_line")
+    al = detect_all(ev)
+    rows = sorted(map(repr, al.collect()))
+    assert len(rows) > 60 and not any("raw_line" in columns for columns in exchanged(al))
+    chains = exchanged(attack_chains(ev, al))
+    assert chains and not any("raw_line" in columns for columns in chains)
+    # the way that is not taken any more does show up
+    assert any("raw_line" in columns for columns in exchanged(ev.join(al.select("event_seq").hint("merge"), "event_seq")))
+    from tracehound.operators import detect
+
+    # beyond the size that is broadcast: a Bloom filter and a join give the same rows
+    monkeypatch.setattr(detect, "MAX_BROADCAST_FIRED", 0)
+    assert sorted(map(repr, detect_all(ev).collect())) == rows
+
+
+@pytest.mark.parametrize("bits", [1 << 26, 64])
+def test_bloom_filter_loses_no_row(spark, monkeypatch, bits):
+    """Also when it is far too small, with nulls, and with columns of other types."""
+    from tracehound.operators import bloom
+
+    monkeypatch.setattr(bloom, "MAX_BITS", bits)
+    df = spark.range(5000).selectExpr("id", "if(id % 100 = 0, null, concat('k', id)) as k", "timestamp_seconds(id) as ts")
+    keys = spark.range(0, 5000, 7).selectExpr("concat('k', id) as k", "cast(timestamp_seconds(id) as string) as ts")
+    passed = bloom.where_maybe(df, keys, ["k", "ts"])
+    wanted = {i for i in range(0, 5000, 7) if i % 100}
+    found = {r["id"] for r in passed.collect()}
+    assert passed.columns == ["id", "k", "ts"] and wanted <= found
+    assert bits == 64 or len(found) < 1.1 * len(wanted) + 10
+    assert bloom.where_maybe(df, keys.limit(0), ["k", "ts"]).count() == 0
+
+
 def test_boundary_is_inclusive(spark):
     def run(last):
         ev = events(spark, [(i, t, "x", "a", "", "", 401) for i, t in enumerate([0, 75, 150, 225, last])])

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracehound.operators.bloom import where_maybe
 from tracehound.operators.scoring import ScoreConfig, successful_attack
 from tracehound.runtime import materialize
 from tracehound.schema import (
@@ -35,11 +36,6 @@ def benign_ips(ev: DataFrame, al: DataFrame) -> DataFrame:
     return groups.join(suspect_ips(al), "ip_group", "left_anti")
 
 
-def only_suspects(ev: DataFrame, al: DataFrame) -> DataFrame:
-    grouped = ev.withColumn("ip_group", group_of(F.col("ip")))
-    return grouped.join(suspect_ips(al), "ip_group", "left_semi")
-
-
 def alert_keys(al: DataFrame) -> DataFrame:
     """One row per event key and category that has alerts."""
     return al.groupBy(*KEY_COLUMNS, "category").agg(
@@ -49,29 +45,40 @@ def alert_keys(al: DataFrame) -> DataFrame:
     )
 
 
+def _failed() -> Column:
+    return F.coalesce(F.col("status_code").isin(SUSPICIOUS_STATUS), F.lit(False))
+
+
+def _maybe_suspicious(ev: DataFrame, al: DataFrame) -> DataFrame:
+    """Events that can be suspicious, found in the scan.
+
+    Bloom filters of the alerted keys and of the suspect addresses let only few others
+    through, so neither the harmless part of the log nor a busy address is shuffled.
+    """
+    timed = ev.where("ts is not null").withColumn("ip_group", group_of(F.col("ip")))
+    return where_maybe(where_maybe(timed, al, KEY_COLUMNS, otherwise=_failed()), al, ["ip_group"])
+
+
 def suspicious_keys(ev: DataFrame, al: DataFrame) -> DataFrame:
     """Suspicious events of suspect addresses, one row per event key.
 
     An event is suspicious when its status says so or when any alert of the same
-    address carries its key. ``n_events`` counts the suspicious events of the key.
+    address carries its key. ``n_events`` counts the suspicious events of the key. Events
+    are aggregated by key before anything is joined.
     """
     alerted = al.select(*KEY_COLUMNS).distinct().withColumn("alerted", F.lit(True))
-    failed = F.col("status_code").isin(SUSPICIOUS_STATUS)
-    per_key = (
-        only_suspects(ev, al)
-        .where("ts is not null")
-        .groupBy("ip_group", *KEY_COLUMNS)
-        .agg(
-            F.count(F.lit(1)).alias("n_all"),
-            F.count_if(failed).alias("n_failed"),
-            F.count_if(successful_attack()).alias("n_success"),
-            F.min("event_seq").alias("first_seq"),
-            F.min(F.when(failed, F.col("event_seq"))).alias("first_failed_seq"),
-        )
+    failed = _failed()
+    per_key = _maybe_suspicious(ev, al).groupBy("ip_group", *KEY_COLUMNS).agg(
+        F.count(F.lit(1)).alias("n_all"),
+        F.count_if(failed).alias("n_failed"),
+        F.count_if(successful_attack()).alias("n_success"),
+        F.min("event_seq").alias("first_seq"),
+        F.min(F.when(failed, F.col("event_seq"))).alias("first_failed_seq"),
     )
     alerted_key = F.coalesce(F.col("alerted"), F.lit(False))
     return (
-        per_key.join(alerted, KEY_COLUMNS, "left")
+        per_key.join(suspect_ips(al), "ip_group", "left_semi")
+        .join(alerted, KEY_COLUMNS, "left")
         .withColumn("alerted", alerted_key)
         .where("alerted or n_failed > 0")
         .select(
@@ -90,10 +97,10 @@ def suspicious_events(ev: DataFrame, al: DataFrame) -> DataFrame:
     """The suspicious events themselves."""
     alerted = al.select(*KEY_COLUMNS).distinct().withColumn("alerted", F.lit(True))
     return (
-        only_suspects(ev, al)
-        .where("ts is not null")
+        _maybe_suspicious(ev, al)
+        .join(suspect_ips(al), "ip_group", "left_semi")
         .join(alerted, KEY_COLUMNS, "left")
-        .where(F.coalesce(F.col("alerted"), F.lit(False)) | F.col("status_code").isin(SUSPICIOUS_STATUS))
+        .where(F.coalesce(F.col("alerted"), F.lit(False)) | _failed())
         .drop("alerted")
     )
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracehound.functions.text import bind, sql_literal
+from tracehound.operators.bloom import where_maybe
 from tracehound.operators.rules import (
     RULES,
     RegexRule,
@@ -19,6 +20,7 @@ from tracehound.operators.rules import (
     regex_rules,
     threshold_rules,
 )
+from tracehound.runtime import materialize
 from tracehound.schema import KEY_COLUMNS, SEVERITY_LEVELS, group_of, micros
 
 ALERT_COLUMNS = [
@@ -125,8 +127,35 @@ def _rule_texts(rules: Sequence[Rule]) -> Column:
     )
 
 
+HEAVY_CELLS = 1024
+MIN_SPLIT_ROWS = 10_000
+_SPLITS_PER_TASK = 16
+
+
+def with_salt(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds ``salt``, which splits the groups that hold more than their share of all rows.
+
+    A frequency sketch over the groups finds those above a sixteenth of an even task, of
+    which there are at most sixteen times the tasks; each gets as many parts as its load
+    asks for. The sketch counts too high at worst, which only means more parts.
+    """
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = F.xxhash64(*keys)
+    size, heavy = cells.select(key.alias("k")).agg(
+        F.count(F.lit(1)), F.expr(f"approx_top_k(k, {HEAVY_CELLS}, {16 * HEAVY_CELLS})")
+    ).first()
+    share = max(MIN_SPLIT_ROWS, size // (_SPLITS_PER_TASK * tasks))
+    parts = [(h["item"], -(-h["count"] // share)) for h in heavy or [] if h["count"] > share]
+    if not parts:
+        return cells.withColumn("salt", F.lit(0))
+    table = cells.sparkSession.createDataFrame(parts, "_k long, _parts long")  # at most HEAVY_CELLS rows
+    found = cells.withColumn("_k", key).join(F.broadcast(table), "_k", "left")
+    salt = F.pmod(F.xxhash64("event_seq"), F.coalesce("_parts", F.lit(1).cast("long")))
+    return found.withColumn("salt", salt).drop("_k", "_parts")
+
+
 def first_crossings(
-    events: DataFrame, threshold: int, window_seconds: int, salts: int = 8, by: Sequence[str] = ("grp",)
+    events: DataFrame, threshold: int, window_seconds: int, salts: int | None = None, by: Sequence[str] = ("grp",)
 ) -> DataFrame:
     """First event of each group that completes ``threshold`` events in the window.
 
@@ -139,7 +168,8 @@ def first_crossings(
     only its first ``threshold`` events can be the first crossing (the next one would
     come after it), and only its last ``threshold - 1`` matter to the next cell. Both
     are kept and the rest of the cell is never needed. A group that holds a large part
-    of all rows is spread over its cells, and a single busy cell over the salts.
+    of all rows is spread over its cells, and a single busy cell over salts: as many as its
+    measured load asks for, or a given number for every cell.
     """
     need = threshold - 1
     width = max(window_seconds, 1) * 1_000_000
@@ -157,7 +187,9 @@ def first_crossings(
             .where("head or tail")
         )
 
-    if salts > 1:
+    if salts is None:
+        cells = keep_ends(with_salt(cells, [*by, "cell"]), *by, "cell", "salt")
+    elif salts > 1:
         cells = keep_ends(cells, *by, "cell", F.pmod(F.col("event_seq"), F.lit(salts)))
     ends = keep_ends(cells, *by, "cell")
     placed = ends.select(
@@ -190,12 +222,15 @@ def first_crossings(
 
 
 def _fired(
-    ev: DataFrame, rule: ThresholdRule, rule_ordinal: int, salts: int, scope: Sequence[str]
+    ev: DataFrame, rule: ThresholdRule, rule_ordinal: int, salts: int | None, scope: Sequence[str]
 ) -> DataFrame:
     """One narrow row per group that crossed the rule's threshold."""
     matching = ev.where(rule.predicate(ev)).select(
         *scope, group_of(F.col(rule.group_by)).alias("grp"), "event_seq", micros(F.col("ts")).alias("t")
     )
+    if salts is None:
+        # narrow rows of the few events that match: measured first, then split
+        matching = materialize(matching)
     count, window = F.lit(str(rule.threshold)), F.lit(f"{rule.window_seconds}s")
     by = ("grp", *scope)
     return first_crossings(matching, rule.threshold, rule.window_seconds, salts, by).select(
@@ -212,26 +247,30 @@ def _fired(
     )
 
 
+MAX_BROADCAST_FIRED = 100_000
+
+
 def detect_thresholds(
-    ev: DataFrame, rules: Sequence[tuple[int, ThresholdRule]], salts: int = 8, scope: Sequence[str] = ()
+    ev: DataFrame, rules: Sequence[tuple[int, ThresholdRule]], salts: int | None = None, scope: Sequence[str] = ()
 ) -> DataFrame:
     """At most one alert per rule and group, on the first event that reaches the threshold.
 
     ``scope`` names columns that keep events apart, such as the file they came from.
-    Only narrow rows go through the windows; the full events are fetched afterwards,
-    once for all rules, for the few that fired.
+    Only narrow rows go through the windows; the full events are fetched afterwards, once
+    for all rules, for the few that fired: a stored table, broadcast while it is small. Beyond
+    that a Bloom filter of their numbers drops nearly all other events in the scan.
     """
-    fired = reduce(DataFrame.unionByName, [_fired(ev, r, i, salts, scope) for i, r in rules])
-    return (
-        ev.select(*_EVENT_PART)
-        .join(fired, "event_seq")
-        .withColumn("ip_group", group_of(F.col("ip")))
-        .select(*ALERT_COLUMNS)
-    )
+    fired = materialize(reduce(DataFrame.unionByName, [_fired(ev, r, i, salts, scope) for i, r in rules]))
+    events = ev.select(*_EVENT_PART)
+    if fired.count() <= MAX_BROADCAST_FIRED:
+        found = events.join(F.broadcast(fired), "event_seq")
+    else:
+        found = where_maybe(events, fired, ["event_seq"]).join(fired, "event_seq")
+    return found.withColumn("ip_group", group_of(F.col("ip"))).select(*ALERT_COLUMNS)
 
 
 def detect_threshold(
-    ev: DataFrame, rule: ThresholdRule, rule_ordinal: int = 1, salts: int = 8
+    ev: DataFrame, rule: ThresholdRule, rule_ordinal: int = 1, salts: int | None = None
 ) -> DataFrame:
     return detect_thresholds(ev, [(rule_ordinal, rule)], salts)
 
@@ -243,7 +282,7 @@ def threshold_text(description: str, count: Column, group: Column, window: Colum
 
 
 def detect_all(
-    ev: DataFrame, rules: Sequence[Rule] = RULES, salts: int = 8, scope: Sequence[str] = ()
+    ev: DataFrame, rules: Sequence[Rule] = RULES, salts: int | None = None, scope: Sequence[str] = ()
 ) -> DataFrame:
     """Regex alerts and threshold alerts of a rule list, ordered by ``alert_order``."""
     parts = [detect_regex(ev, rules)] if regex_rules(rules) else []

@@ -8,7 +8,7 @@ from querybook.book import query
 from querybook.inputs import JSON_LINE, MIXED_LINE, REF_NOW
 from querybook.oracle import with_ctes
 from tracehound.functions import decode as d
-from tracehound.functions.labels import iso_time
+from tracehound.functions.labels import EVENT_JSON_FIELDS, event_json
 from tracehound.operators import formats as fo
 from tracehound.operators import parse_auth as pa
 from tracehound.operators import parse_json as pj
@@ -243,11 +243,23 @@ def _(x):
     return x.ev.groupBy("ts", "ip", "endpoint", "source").agg(F.count(F.lit(1)).alias("n"))
 
 
+_WEB_DECODED = sql_html(sql_base64(_URL.format(_WEB_ENDPOINT)))
+
+
 @query("events_to_json", with_ctes(
-    """SELECT event_seq, to_json({'timestamp': strftime(ts, '%Y-%m-%dT%H:%M:%S.000Z'), 'source': source, 'ip': ip, 'method': method, 'statusCode': status_code}) AS event_json FROM ev""", "ev"))
+    f"""SELECT event_seq, to_json({{'timestamp': strftime(ts, '%Y-%m-%dT%H:%M:%S.000Z'), 'source': 'nginx', 'sourceFile': source_file, 'ip': {_WEB_IP}, 'method': method,
+    'endpoint': {_WEB_DECODED}, 'statusCode': status_code, 'logLevel': CASE WHEN status_code >= 400 THEN 'warn' ELSE 'info' END, 'userAgent': user_agent,
+    'user': CASE WHEN k % 4 = 0 THEN '' ELSE concat('u', k) END, 'rawLine': web_line, 'lineNumber': line_number,
+    'metadata': {{'bodyBytes': CAST(k * 10 AS VARCHAR), 'referer': CASE WHEN k % 3 = 0 THEN '' ELSE 'http://x/' END, 'rawEndpoint': {_WEB_ENDPOINT}}}}})::VARCHAR AS event_json
+    FROM lines WHERE {_WEB_OK}
+    UNION ALL SELECT event_seq, to_json({{'timestamp': strftime(ts, '%Y-%m-%dT%H:%M:%S.000Z'), 'source': 'none', 'statusCode': NULL, 'metadata': NULL}})::VARCHAR FROM lines WHERE k = 7""", "lines"))
 def _(x):
-    fields = F.struct(iso_time(F.col("ts")).alias("timestamp"), "source", "ip", "method", F.col("status_code").alias("statusCode"))
-    return x.ev.select("event_seq", F.to_json(fields).alias("event_json"))
+    web = pw.parse_web_access(x.lines("web_line")).select("event_seq", event_json().alias("event_json"))
+    # an event that has little more than a time
+    bare = x.lines_wide.where("k = 7").select("event_seq", "ts", F.lit("none").alias("source"), *[
+        F.lit(None).cast(t).alias(c) for c, t in (("status_code", "int"), ("metadata", "map<string,string>"))])
+    kept = [(n, c) for n, c in EVENT_JSON_FIELDS if c in bare.columns]
+    return web.unionByName(bare.select("event_seq", event_json(kept).alias("event_json")))
 
 
 # ---- formats -------------------------------------------------------------------------
@@ -306,8 +318,18 @@ def _(x):
     return union.groupBy("source").agg(F.count(F.lit(1)).alias("events"), F.min("event_seq").alias("first_seq"))
 
 
+# Scores of the registered format beside those of the known ones; on a tie the known one stays.
+_DETECT_OWN = f"""SELECT *, CASE WHEN fconf > conf THEN 'free' ELSE {_KIND} END AS best, greatest(fconf, conf) AS top FROM (
+  SELECT d.*, f.fconf FROM det d JOIN (
+    SELECT source_file, CAST(floor(100.0 * count(*) FILTER (WHERE file_kind = 3 AND k >= 20) / count(*) + 0.5) AS INT) AS fconf
+    FROM ({_SAMPLE}) s WHERE rn <= 10 GROUP BY source_file) f USING (source_file)) c"""
+
+
 @query("register_format", with_ctes(
-    "SELECT 'free' AS source, count(*) AS events FROM lines WHERE file_kind = 3 AND k >= 20", "lines"))
+    f"""SELECT o.source_file, CASE WHEN top >= 50 THEN best END AS format, top AS confidence, coalesce(events, 0) AS events FROM own o LEFT JOIN (
+      SELECT l.source_file, count(*) AS events FROM lines l JOIN own o ON o.source_file = l.source_file AND o.top >= 50
+      WHERE CASE o.best WHEN 'free' THEN k >= 20 WHEN 'auth' THEN true WHEN 'json' THEN {_JSON_OK} ELSE {_WEB_OK} AND (l.file_kind = 0 OR k < 20) END GROUP BY 1) e USING (source_file)
+    UNION ALL SELECT 'forced', 'free', NULL, count(*) FROM lines WHERE file_kind = 3 AND k >= 20""", "lines", extra={"det": _DETECT, "own": _DETECT_OWN}))
 def _(x):
     def free_events(lines):
         return pw.web_derived(lines.where("line like 'free text %'").selectExpr(
@@ -315,7 +337,14 @@ def _(x):
             "'0' as status_text", "'0' as bytes_text", "'-' as referer", "'' as user_agent"), steps=()).withColumn("source", F.lit("free"))
 
     own = fo.register_format(fo.FORMATS, "free", lambda line: F.startswith(line, F.lit("free text")), free_events)
-    return fo.parse_as(_mixed(x), "free", own).groupBy("source").agg(F.count(F.lit(1)).alias("events"))
+    lines = _mixed(x)
+    found = fo.detect_format(lines, own)
+    options = {"auth": {"ref_now": _now()}, "json": {"now": _now()}}
+    events = fo.parse_auto(lines, None, own, options, found).groupBy("source_file").agg(F.count(F.lit(1)).alias("events"))
+    forced = fo.parse_auto(lines, "free", own).agg(F.count(F.lit(1)).alias("events")).select(
+        F.lit("forced").alias("source_file"), F.lit("free").alias("format"), F.lit(None).cast("int").alias("confidence"), "events")
+    routed = found.join(events, "source_file", "left").select("source_file", "format", "confidence", F.coalesce("events", F.lit(0)).alias("events"))
+    return routed.unionByName(forced)
 
 
 # ---- files ---------------------------------------------------------------------------

@@ -99,9 +99,10 @@ def _(x):
 
 
 @query("enrich_attackers", with_ctes(
-    f"SELECT p.ip, p.threat_score, p.alert_count, g.country, g.lat, g.isp, g.org, g.as_name, g.is_private FROM prof p LEFT JOIN ({sql_enriched('geo')}) g ON g.ip = p.ip AND p.ip <> 'unknown' WHERE p.ip <> 'unknown'", "prof", "geo"))
+    f"""SELECT p.ip, p.threat_score, p.alert_count, g.country, g.lat, g.isp, g.org, g.as_name, g.is_private
+    FROM prof p LEFT JOIN ({sql_enriched('geo')}) g ON g.ip = CASE WHEN p.ip = 'unknown' THEN '' ELSE p.ip END""", "prof", "geo"))
 def _(x):
-    return en.enrich_attackers(co.attacker_profile(x.ev, x.al), x.geo).where("ip <> 'unknown'").selectExpr(
+    return en.enrich_attackers(co.attacker_profile(x.ev, x.al), x.geo).selectExpr(
         "ip", "threat_score", "alert_count", "geo.country as country", "geo.lat as lat", "isp", "org", "as_name", "is_private")
 
 
@@ -334,14 +335,16 @@ def _(x):
     return re.report_evidence(x.al)
 
 
-_ADVICE = ", ".join(f"({q(c)}, {q(a)})" for c, a in re.CATEGORY_ADVICE)
+_ADVICE = ", ".join(f"({', '.join(map(q, row))})" for row in re.CATEGORY_ADVICE)
+_GENERAL = ", ".join(f"({', '.join(map(q, row))})" for row in re.GENERAL_ADVICE)
 
 
 @query("report_recommendations", with_ctes(
-    f"""SELECT 1 AS section, ip AS subject, 'Block IP' AS advice, threat_score, alert_count FROM prof WHERE threat_score >= 50
-    UNION ALL SELECT 2, category, advice, NULL, NULL FROM (VALUES {_ADVICE}) t(category, advice) WHERE category IN (SELECT category FROM al)
-    UNION ALL SELECT 3, 'incident', 'Escalate to security team', m, NULL FROM (SELECT max(threat_score) AS m FROM prof) x WHERE m >= 70
-    UNION ALL SELECT 4, 'incident', a, NULL, NULL FROM (VALUES ('Review WAF rules'), ('Preserve log files')) g(a)""", "prof", "al"))
+    f"""SELECT 1 AS section, ip AS subject, 'Block IP' AS advice, concat('Threat score ', threat_score, '/100 with ', alert_count, ' alerts') AS detail, threat_score, alert_count
+    FROM prof WHERE threat_score >= 50
+    UNION ALL SELECT 2, category, advice, detail, NULL, NULL FROM (VALUES {_ADVICE}) t(category, advice, detail) WHERE category IN (SELECT category FROM al)
+    UNION ALL SELECT 3, 'incident', {', '.join(map(q, re.ESCALATION_ADVICE))}, m, NULL FROM (SELECT max(threat_score) AS m FROM prof) x WHERE m >= 70
+    UNION ALL SELECT 4, 'incident', a, d, NULL, NULL FROM (VALUES {_GENERAL}) g(a, d)""", "prof", "al"))
 def _(x):
     return re.report_recommendations(co.attacker_profile(x.ev, x.al), x.al)
 

@@ -15,6 +15,20 @@ def iso_time(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
+# Field names of an event as JSON, in order, with the columns they come from.
+EVENT_JSON_FIELDS = [
+    ("timestamp", "ts"), ("source", "source"), ("sourceFile", "source_file"), ("ip", "ip"), ("method", "method"),
+    ("endpoint", "endpoint"), ("statusCode", "status_code"), ("logLevel", "log_level"), ("userAgent", "user_agent"),
+    ("user", "user"), ("rawLine", "raw_line"), ("lineNumber", "line_number"), ("metadata", "metadata"),
+]
+
+
+def event_json(fields: list[tuple[str, str]] = EVENT_JSON_FIELDS) -> Column:
+    """An event as JSON text, with all its fields or some; a missing value stays as null."""
+    values = [(iso_time(F.col(c)) if c == "ts" else F.col(c)).alias(name) for name, c in fields]
+    return F.to_json(F.struct(*values), {"ignoreNullFields": "false"})
+
+
 def score_band(score: Column) -> Column:
     return F.when(score >= 70, "red").when(score >= 40, "orange").otherwise("green")
 

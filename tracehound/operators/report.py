@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracehound.functions.labels import report_time, score_band
@@ -110,48 +110,54 @@ def report_evidence(al: DataFrame, rows: int = 20) -> DataFrame:
     )
 
 
-# Advice per detected category, and the general advice.
+# Advice per detected category with its detail, and the general advice.
 CATEGORY_ADVICE = [
-    ("SQL Injection", "Implement parameterized queries"),
-    ("Brute Force", "Enable rate limiting and account lockout"),
-    ("Path Traversal", "Sanitize file path inputs"),
-    ("XSS", "Implement Content Security Policy (CSP)"),
-    ("Command Injection", "Avoid shell command execution from user input"),
+    ("SQL Injection", "Implement parameterized queries",
+     "SQL injection attempts detected. Review all database query construction."),
+    ("Brute Force", "Enable rate limiting and account lockout",
+     "Brute force attempts detected. Implement CAPTCHA after 3 failed attempts."),
+    ("Path Traversal", "Sanitize file path inputs",
+     "Path traversal attempts detected. Validate and canonicalize all file paths."),
+    ("XSS", "Implement Content Security Policy (CSP)",
+     "XSS attempts detected. Sanitize all user input and enable CSP headers."),
+    ("Command Injection", "Avoid shell command execution from user input",
+     "Command injection attempts detected. Use parameterized system calls."),
 ]
-GENERAL_ADVICE = ["Review WAF rules", "Preserve log files"]
-ESCALATION_ADVICE = "Escalate to security team"
+GENERAL_ADVICE = [
+    ("Review WAF rules", "Ensure Web Application Firewall rules cover all detected attack patterns."),
+    ("Preserve log files", "Retain all referenced log files as forensic evidence for potential legal proceedings."),
+]
+ESCALATION_ADVICE = ("Escalate to security team", "High threat score indicates an active and sophisticated attack.")
+BLOCK_ADVICE = "Block IP"
 BLOCK_SCORE = 50
 ESCALATION_SCORE = 70
 
 
-def _advice_rows(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
-    return spark.createDataFrame(rows, names)
-
-
 def report_recommendations(attackers: DataFrame, al: DataFrame) -> DataFrame:
-    """Rows ``section, subject, advice, threat_score, alert_count``.
+    """Rows ``section, subject, advice, detail, threat_score, alert_count``.
 
     Sections follow the report: 1 block an address, 2 category advice, 3 escalation,
     4 general advice.
     """
     spark = attackers.sparkSession
     none = F.lit(None).cast("int").alias("threat_score"), F.lit(None).cast("long").alias("alert_count")
-    block = attackers.where(F.col("threat_score") >= BLOCK_SCORE).select(
-        F.lit(1).alias("section"), F.col("ip").alias("subject"), F.lit("Block IP").alias("advice"),
-        "threat_score", F.col("alert_count").cast("long").alias("alert_count"),
+    score, alerts = F.col("threat_score"), F.coalesce("alert_count", F.lit(0)).cast("long")
+    block = attackers.where(score >= BLOCK_SCORE).select(
+        F.lit(1).alias("section"), F.col("ip").alias("subject"), F.lit(BLOCK_ADVICE).alias("advice"),
+        F.format_string("Threat score %d/100 with %d alerts", score, alerts).alias("detail"),
+        "threat_score", alerts.alias("alert_count"),
     )
-    texts = _advice_rows(spark, CATEGORY_ADVICE, "category string, advice string")
+    texts = spark.createDataFrame(CATEGORY_ADVICE, "category string, advice string, detail string")
     by_category = texts.join(al.select("category").distinct(), "category", "left_semi").select(
-        F.lit(2).alias("section"), F.col("category").alias("subject"), "advice", *none
+        F.lit(2).alias("section"), F.col("category").alias("subject"), "advice", "detail", *none
     )
     worst = attackers.agg(F.max("threat_score").alias("threat_score"))
-    escalate = worst.where(F.col("threat_score") >= ESCALATION_SCORE).select(
-        F.lit(3).alias("section"), F.lit("incident").alias("subject"),
-        F.lit(ESCALATION_ADVICE).alias("advice"), "threat_score",
-        F.lit(None).cast("long").alias("alert_count"),
+    escalate = worst.where(score >= ESCALATION_SCORE).select(
+        F.lit(3).alias("section"), F.lit("incident").alias("subject"), F.lit(ESCALATION_ADVICE[0]).alias("advice"),
+        F.lit(ESCALATION_ADVICE[1]).alias("detail"), "threat_score", F.lit(None).cast("long").alias("alert_count"),
     )
-    general = _advice_rows(spark, [(a,) for a in GENERAL_ADVICE], "advice string").select(
-        F.lit(4).alias("section"), F.lit("incident").alias("subject"), "advice", *none
+    general = spark.createDataFrame(GENERAL_ADVICE, "advice string, detail string").select(
+        F.lit(4).alias("section"), F.lit("incident").alias("subject"), "advice", "detail", *none
     )
     return block.unionByName(by_category).unionByName(escalate).unionByName(general)
 

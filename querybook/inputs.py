@@ -133,7 +133,7 @@ JSON_LINE = (
 )
 LINES_SQL = f"""
 SELECT *, concat('part-', CAST(CAST(floor(event_seq / 500) AS INT) AS STRING), '.log') AS source_file,
-  event_seq AS line_number, CAST(floor(event_seq / 500) AS INT) % 4 AS file_kind,
+  event_seq % 500 + 1 AS line_number, CAST(floor(event_seq / 500) AS INT) % 4 AS file_kind,
   {WEB_LINE} AS web_line, {AUTH_LINE} AS auth_line, {JSON_LINE} AS json_line
 FROM (SELECT *, CASE WHEN event_seq % 5 = 0 THEN ts + INTERVAL '330' MINUTE ELSE ts END AS local_ts,
   CASE WHEN ip = '' THEN 'gateway' ELSE ip END AS addr FROM ({LOG_SQL}) l0) l1

@@ -369,10 +369,20 @@ def _(x):
 
 
 @query("file_catalog", with_ctes(
-    f"SELECT sum(bytes) AS size_bytes, sum(n) AS lines FROM (SELECT CAST(sum(strlen({MIXED_LINE}) + 1) AS BIGINT) AS bytes, count(*) AS n FROM lines) f", "lines"))
+    f"""SELECT sum(bytes) AS size_bytes, sum(n) AS lines, true AS previewed, true AS sized FROM (
+    SELECT CAST(sum(strlen({MIXED_LINE}) + 1) AS BIGINT) AS bytes, count(*) AS n FROM lines) f""", "lines"))
 def _(x):
-    return file_catalog(x.spark, f"{_written(x, MIXED_LINE, 'catalog')}/*").agg(
-        F.sum("size_bytes").alias("size_bytes"), F.sum("lines").alias("lines"))
+    path = _written(x, MIXED_LINE, "catalog")
+    # refused whatever they hold
+    x.lines_wide.select(F.col("web_line").alias("value")).write.option("compression", "gzip").text(f"{path}/file_kind=9")
+    # a preview begins like the file, a size reads like the bytes
+    whole = x.spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("source_file"), F.concat(F.substring("value", 1, 200), F.lit("...")).alias("begin"))
+    units = F.when(F.col("size_bytes") < 1024**2, F.format_string("%.1f KB", F.col("size_bytes") / 1024)).otherwise(
+        F.format_string("%.1f MB", F.col("size_bytes") / 1024**2))
+    return file_catalog(x.spark, f"{path}/*").join(whole, "source_file").agg(
+        F.sum("size_bytes").alias("size_bytes"), F.sum("lines").alias("lines"),
+        F.every(F.col("preview") == F.col("begin")).alias("previewed"), F.every(F.col("size_human") == units).alias("sized"))
 
 
 # By kind of file: objects one per line; below a banner, over several lines or two on one;

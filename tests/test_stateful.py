@@ -44,7 +44,7 @@ def shuffled_parts(ev, rows, n, delay, seed, final):
     return [*parts, stateful.end_of_input(ev.sparkSession, ev.schema, final)]
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_threshold_equals_the_batch_rule_in_any_order(spark, tmp_path, seed):
     r = random.Random(seed)
     rows = sorted((r.randrange(3000), r.choice("abcdefg"), r.choice([401, 401, 200])) for _ in range(260))

@@ -24,6 +24,7 @@ JSON_SAMPLE_LINES = 50
 MIN_CONFIDENCE = 50
 JSON_CONFIDENCE = 80
 JSON_DOUBT = 10
+HEAD_LINES_PER_LINE = 4  # lines looked at for each line of the sample, blank ones included
 
 
 @dataclass(frozen=True)
@@ -76,16 +77,39 @@ def _json_sample_parses() -> Column:
     return F.coalesce(as_array, F.lit(False)) | F.exists(parts, lambda p: json_object(trim_blank(p)).isNotNull())
 
 
+def _first_lines(lines: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` non-blank lines of each file with their rank ``_rn``.
+
+    One pass without a sort: of each file the lines up to a fixed number are collected, which
+    are enough unless many are blank. Only files for which they are not, though they go on,
+    are ranked as a whole.
+    """
+    reach = HEAD_LINES_PER_LINE * n
+    early = F.when(F.col("line_number") <= reach, F.struct("line_number", "line"))
+    heads = materialize(lines.groupBy("source_file").agg(
+        F.array_sort(F.collect_list(early)).alias("head"), F.max("line_number").alias("last")
+    ))
+    short = (F.size("head") < n) & (F.col("last") > reach)
+    out = heads.where(~short).select("source_file", F.posexplode(F.slice("head", 1, n)).alias("_at", "l")).select(
+        "source_file", "l.*", (F.col("_at") + 1).alias("_rn")
+    )
+    if heads.where(short).isEmpty():
+        return out
+    place = Window.partitionBy("source_file").orderBy("line_number")
+    # rank filter: each task keeps only the first lines of a file before the shuffle
+    ranked = lines.join(heads.where(short).select("source_file"), "source_file", "left_semi").withColumn("_rn", F.row_number().over(place))
+    return out.unionByName(ranked.where(F.col("_rn") <= n).select(*out.columns))
+
+
 def format_scores(
     lines: DataFrame, formats: dict[str, LogFormat] = FORMATS,
     sample: int = SAMPLE_LINES, json_sample: int = JSON_SAMPLE_LINES,
 ) -> DataFrame:
-    """Confidence of every format for every file, from its first non-blank lines."""
-    place = Window.partitionBy("source_file").orderBy("line_number")
-    # rank filter: each task keeps only the first lines of a file before the shuffle
-    head = lines.withColumn("_rn", F.row_number().over(place)).where(
-        F.col("_rn") <= max(sample, json_sample)
-    )
+    """Confidence of every format for every file, from its first non-blank lines.
+
+    All detectors are applied to one sample and scored in one aggregate.
+    """
+    head = _first_lines(lines, max(sample, json_sample))
     small = F.col("_rn") <= sample
     scores = []
     for name, fmt in formats.items():
@@ -155,11 +179,14 @@ def route_by_format(
     """
     # one row per file, needed once per format; the optimizer broadcasts it while it is small
     found = materialize(detect_format(lines, formats) if detected is None else detected)
-    routed = lines.join(found.where("format is not null").select("source_file", "format"), "source_file")
-    parts = [
-        parse_as(routed.where(F.col("format") == name).drop("format"), name, formats, (options or {}).get(name))
-        for name in formats
-    ]
+    found = found.where("format is not null").select("source_file", "format")
+    present = {row[0] for row in found.select("format").distinct().collect()}  # at most the formats
+    # each parser reads the lines once; formats that no file has are not parsed at all
+    names = [name for name in formats if name in present] or list(formats)[:1]
+    parts = []
+    for name in names:
+        own = lines.join(found.where(F.col("format") == name).select("source_file"), "source_file")
+        parts.append(parse_as(own, name, formats, (options or {}).get(name)))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -83,37 +83,30 @@ def scan_log_lines(spark: SparkSession, path: str | list[str], keep_blank: bool
     return number_lines(raw_text(spark.read, path), keep_blank=keep_blank)
 
 
+def _allowed_glob() -> str:
+    """Pattern of allowed file names in any case; others are left out when files are listed."""
+    any_case = lambda text: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in text)
+    return "*{" + ",".join(map(any_case, ALLOWED_EXTENSIONS)) + "}"
+
+
 def file_catalog(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Per log file: size, lines, preview. Files with other extensions are left out."""
-    name = F.lower(file_name(F.col("source_file")))
-    allowed = F.lit(False)
-    for ext in ALLOWED_EXTENSIONS:
-        allowed = allowed | F.endswith(name, F.lit(ext))
-    rows = (
-        spark.read.text(path, lineSep="\n")
-        .select(
-            F.col("value").alias("text"), F.col("_metadata.file_path").alias("source_file"),
-            F.col("_metadata.file_size").alias("size_bytes"),
-            F.col("_metadata.file_modification_time").alias("modified"),
-            F.col("_metadata.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("_pos"),
-        )
-        .where(allowed)
-    )
-    totals = rows.groupBy("source_file", "size_bytes", "modified").agg(
-        F.count_if(trim_blank(F.col("text")) != "").alias("lines"),
-        F.count(F.lit(1)).alias("_all"),
+    """Per log file: size, lines, preview. Files with other extensions are never opened."""
+    meta = F.col("_metadata")
+    rows = spark.read.option("pathGlobFilter", _allowed_glob()).text(path, lineSep="\n").select(
+        F.col("value").alias("text"), meta["file_path"].alias("source_file"), meta["file_size"].alias("size_bytes"),
+        meta["file_modification_time"].alias("modified"), meta["file_block_start"].alias("_block"),
     )
+    blocks = line_blocks(rows)
+    placed = beside_blocks(rows.withColumn("_pos", F.monotonically_increasing_id()), blocks, ["source_file", "_block"])
+    number = F.col("_off") + F.col("_pos") - F.col("_first")
     # the preview needs at most its own length in lines
-    first = Window.partitionBy("source_file").orderBy("_block", "_pos")
-    head = (
-        rows.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= PREVIEW_CHARS + 1)
-        .groupBy("source_file")
-        .agg(F.array_sort(F.collect_list(F.struct("_rn", F.substring("text", 1, PREVIEW_CHARS + 1).alias("t")))).alias("_head"))
-        .select("source_file", F.array_join(F.col("_head")["t"], "\n").alias("_head"))
-    )
+    early = F.when(number <= PREVIEW_CHARS, F.struct(number.alias("n"), F.substring("text", 1, PREVIEW_CHARS + 1).alias("t")))
+    files = placed.groupBy("source_file", "size_bytes", "modified").agg(
+        F.count_if(trim_blank(F.col("text")) != "").alias("lines"),
+        F.array_sort(F.collect_list(early)).alias("_first_lines"),
+    ).withColumn("_head", F.array_join(F.col("_first_lines")["t"], "\n"))
     preview = F.substring("_head", 1, PREVIEW_CHARS)
-    return totals.join(head, "source_file").select(
+    return files.select(
         file_name(F.col("source_file")).alias("filename"), "source_file", "size_bytes",
         human_size(F.col("size_bytes")).alias("size_human"), "lines", "modified",
         F.when(F.length("_head") > PREVIEW_CHARS, F.concat(preview, F.lit("..."))).otherwise(preview).alias("preview"),

@@ -8,9 +8,10 @@ reaches the next level up. Budgets are whole tokens, rounded down at each level.
 
 A leaf reads its rows in seeded epochs: epoch e in the order of a hash of seed, e and id. It
 takes the longest prefix whose tokens fit its budget, so whole epochs first, then part of
-one; rows that tie with the last one taken are taken with it. Running sums are built from
-sums of hash buckets, so no task holds a leaf; per leaf one cut remains, and texts are
-filtered against it where they are read.
+one. Rows are ordered by hash, id, tokens and a hash of their text; of equal rows as many are
+taken as fit, so a budget is never passed. Running sums are built from sums of hash buckets,
+so no task holds a leaf; per leaf one cut remains, and texts are filtered against it where
+they are read.
 
 A token is a white-space separated word unless ``tokens`` names a column. Null text has
 none; null language or source is the empty name; an unknown source belongs to the domain
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracehound.llm.common import SPACED_WORD, query, table, text_of
-from tracehound.runtime import materialize
+from tracehound.runtime import materialize, number_rows
 
 LEVELS = ("domain", "lang", "source")
 MAX_BROADCAST_LEAVES = 100_000
@@ -111,37 +112,64 @@ def leaf_budgets(rows: DataFrame, mix: Mix) -> DataFrame:
     return leaves.select(*LEVELS, "supply", F.col(above).alias("budget"))
 
 
-def _draw(mix: Mix) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+def _draw(mix: Mix, whole: str) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col(whole).cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+
+
+_PLACE = ("draw", "doc_id", "tokens", "text_key")
 
 
 def leaf_cuts(rows: DataFrame, mix: Mix) -> DataFrame:
-    """Per leaf with budget: whole epochs, and the last place taken of the epoch after them."""
+    """Per leaf with budget, ``cut``: whole epochs; of the epoch after them the last place that
+    fits with all its rows, and of the place behind it how many rows fit.
+
+    ``rows``: doc_id, domain, lang, source, tokens and text_key.
+    """
     budgets = leaf_budgets(rows, mix).where(F.col("budget") > 0)
     budgets = materialize(budgets.withColumn("whole", F.floor(F.col("budget") / F.col("supply"))).withColumn("rest", F.col("budget") % F.col("supply")))
     few = budgets.count() <= MAX_BROADCAST_LEAVES
-    drawn = rows.join(F.broadcast(budgets) if few else budgets, list(LEVELS)).withColumn("draw", _draw(mix))
+    drawn = rows.join(F.broadcast(budgets) if few else budgets, list(LEVELS)).withColumn("draw", _draw(mix, "whole"))
+    # equal rows are one place with a count
+    drawn = drawn.groupBy(*LEVELS, "rest", *_PLACE).agg(F.count(F.lit(1)).alias("_n")).withColumn("_sum", F.col("tokens") * F.col("_n"))
     drawn = drawn.withColumn("_bucket", F.substring("draw", 1, BUCKET_DIGITS))
-    sums = drawn.groupBy(*LEVELS, "_bucket").agg(F.sum("tokens").alias("_sum"))
+    sums = drawn.groupBy(*LEVELS, "_bucket").agg(F.sum("_sum").alias("_all"))
     ahead = Window.partitionBy(*LEVELS).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(ahead), F.lit(0))).drop("_sum")
-    inside = Window.partitionBy(*LEVELS, "_bucket").orderBy("draw", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, 0)
-    run = drawn.withColumn("_run", F.sum("tokens").over(inside)).join(sums, [*LEVELS, "_bucket"])
-    place = F.struct("draw", "doc_id", "tokens")
-    last = run.where(F.col("_before") + F.col("_run") <= F.col("rest")).groupBy(*LEVELS).agg(F.max(place).alias("last"))
-    return budgets.join(last, list(LEVELS), "left").select(*LEVELS, "whole", "last", "budget")
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_all").over(ahead), F.lit(0))).drop("_all")
+    inside = Window.partitionBy(*LEVELS, "_bucket").orderBy(*_PLACE).rowsBetween(Window.unboundedPreceding, 0)
+    run = drawn.withColumn("_run", F.sum("_sum").over(inside)).join(sums, [*LEVELS, "_bucket"]).withColumn("_run", F.col("_before") + F.col("_run"))
+    place, fits = F.struct(*_PLACE), F.col("_run") <= F.col("rest")
+    take = F.floor((F.col("rest") - F.col("_run") + F.col("_sum")) / F.greatest("tokens", F.lit(1)))
+    behind = F.struct(*_PLACE, take.alias("take"))
+    cut = run.groupBy(*LEVELS).agg(F.max(F.when(fits, place)).alias("last"), F.min(F.when(~fits, behind)).alias("next"))
+    return budgets.join(cut, list(LEVELS), "left").select(*LEVELS, F.struct("whole", "last", "next", "budget").alias("cut"))
 
 
 def mix_sources(docs: DataFrame, mix: Mix = MIX, text: str = "text", tokens: str | None = None) -> DataFrame:
     """Rows of ``docs`` with domain, tokens and epoch: one row for each time a row is used."""
-    rows = materialize(with_leaf(docs, mix, text, tokens).select("doc_id", *LEVELS, "tokens"))
+    key = F.md5(text_of(text))
+    rows = materialize(with_leaf(docs, mix, text, tokens).select("doc_id", *LEVELS, "tokens", key.alias("text_key")))
     cuts = materialize(leaf_cuts(rows, mix))
     few = cuts.count() <= MAX_BROADCAST_LEAVES
-    used = with_leaf(docs.drop("epoch"), mix, text, tokens).join(F.broadcast(cuts) if few else cuts, list(LEVELS)).withColumn("draw", _draw(mix))
-    part = F.coalesce(F.struct("draw", "doc_id", "tokens") <= F.col("last"), F.lit(False))
+    # columns of the input stay apart from those of the cut, whatever their names
+    read = with_leaf(docs.drop("epoch"), mix, text, tokens)
+    kept = [c for c in read.columns if c not in LEVELS]
+    used = read.select(F.struct(*kept).alias("row"), *LEVELS, "doc_id", "tokens", key.alias("text_key"))
+    used = used.join(F.broadcast(cuts) if few else cuts, list(LEVELS)).withColumn("whole", F.col("cut.whole")).withColumn("draw", _draw(mix, "whole"))
+    place, behind = F.struct(*_PLACE), F.struct(*[F.col(f"cut.next.{c}") for c in _PLACE])
+    tied = F.coalesce((F.col("cut.next.take") > 0) & place.eqNullSafe(behind), F.lit(False))
+    part = F.coalesce(place <= F.col("cut.last"), F.lit(False))
+    out = used.withColumn("part", part)
+    if not cuts.where("cut.next.take > 0").isEmpty():
+        # equal rows of which only some fit: numbered, without gathering them
+        equal = number_rows(used.where(tied).withColumn("_at", F.monotonically_increasing_id()), *LEVELS, "_at", name="_no")
+        first = equal.groupBy(*LEVELS).agg(F.min("_no").alias("_first"))
+        equal = equal.join(F.broadcast(first) if few else first, list(LEVELS))  # one row per leaf
+        equal = equal.withColumn("part", F.col("_no") - F.col("_first") < F.col("cut.next.take")).drop("_at", "_no", "_first")
+        out = out.where(~tied).unionByName(equal)
     epochs = F.expr("sequence(0, int(whole))")
-    epochs = F.when(part, epochs).otherwise(F.slice(epochs, 1, F.col("whole").cast("int")))
-    return used.withColumn("epoch", F.explode(epochs)).drop("whole", "last", "budget", "draw")
+    epochs = F.when(F.col("part"), epochs).otherwise(F.slice(epochs, 1, F.col("whole").cast("int")))
+    out = out.withColumn("epoch", F.explode(epochs))
+    return out.select(*[F.col(c) if c in LEVELS else F.col("row")[c].alias(c) for c in read.columns], "epoch")
 
 
 def _sql() -> str:
@@ -171,13 +199,13 @@ g_{level} AS (
     return rf"""
 WITH d AS (
   SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, CASE {domain} ELSE 'other' END AS domain,
-         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS tokens FROM documents),
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS tokens, md5(coalesce(text, '')) AS key FROM documents),
 leaf AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS supply FROM d GROUP BY ALL),
 total AS (SELECT floor(sum(supply) * {m.share_percent} / 100)::BIGINT AS b FROM leaf),
 {','.join(parts)},
 b AS (SELECT leaf.*, got, got // supply AS whole, got % supply AS rest FROM leaf JOIN g_source USING (domain, lang, source) WHERE got > 0),
-e AS (SELECT d.*, whole, rest, md5(concat_ws(':', '{m.seed}', whole::VARCHAR, doc_id::VARCHAR)) AS draw FROM d JOIN b USING (domain, lang, source)),
-c AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY draw, doc_id, tokens ROWS UNBOUNDED PRECEDING) AS run FROM e),
+e AS (SELECT d.*, whole, rest, md5(concat_ws(':', '{m.seed}', whole::VARCHAR, coalesce(doc_id::VARCHAR, ''))) AS draw FROM d JOIN b USING (domain, lang, source)),
+c AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY draw, doc_id NULLS FIRST, tokens, key ROWS UNBOUNDED PRECEDING) AS run FROM e),
 used AS (
   SELECT doc_id, domain, lang, source, tokens, unnest(range(whole + CASE WHEN run <= rest THEN 1 ELSE 0 END)) AS epoch FROM c)
 SELECT doc_id, domain, lang, source, tokens, epoch::INTEGER AS epoch FROM used

@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame
 
 from tracehound.llm.common import query, table
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)""", re.S)
+# a quote opens a value only right behind the equals sign
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+"[^"]*(?:"|\Z)|=\s*+'[^']*(?:'|\Z)|[^>])*+)(?:>|\Z)""", re.S)
 _MARK = re.compile(r"""\b(class|id|role|data-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 
 # Elements by what a parser has to do with them.
@@ -66,7 +67,7 @@ NAMES = {
 }
 _NAMES = {k: re.compile(v, re.I) for k, v in NAMES.items()}
 TAGS = "html body main article section nav aside header footer div p h1 h2 h3 h4 ul ol li table tr td dl dd blockquote pre figure form fieldset address details".split()
-LOOKS = ["bias", "named", "empty", "short", "middle", "long", "linked", "some_links", "sentence", "many_parts"]
+LOOKS = ["bias", "named", "empty", "short", "middle", "long", "linked", "some_links", "sentence", "many_parts", "bare page"]
 PLAIN = ("article", "main", "section", "div", "ul", "ol", "body")  # elements that mean another thing without a name
 FEATURES = {name: k for k, name in enumerate([*LOOKS, *("tag " + t for t in [*TAGS, "other"]), *("plain " + t for t in PLAIN), *("name " + n for n in NAMES)])}
 
@@ -83,8 +84,11 @@ class Page:
     runs: list[tuple[int, str]] = field(default_factory=list)
 
 
-def parse(source: str) -> Page:
-    """Block elements of a page and the text runs between their edges."""
+def parse(source: str, labelled: bool = False) -> Page:
+    """Block elements of a page and the text runs between their edges.
+
+    Labels are read from training pages only; on others the attribute means something else.
+    """
     page, held, letters = Page(), [], 0
     stack: list[tuple[str, int]] = []  # open elements; block elements with their node, others with the node they are in
     opened: dict[str, list[int]] = defaultdict(list)  # by tag: places on the stack
@@ -161,6 +165,9 @@ def parse(source: str) -> Page:
             continue
         if tag == "br":
             held.append(" ")
+        if tag == "hr":
+            close("p", BLOCKS - {"p"})
+            flush()
         if tag in VOID:
             continue
         if tag in CLOSES_P:
@@ -170,9 +177,11 @@ def parse(source: str) -> Page:
         if tag in BLOCKS:
             flush()
             marks = {k.lower(): v.strip("\"'") for k, v in _MARK.findall(m[3] or "")}
-            if tag in ("html",):
+            own = marks.get("data-label") if labelled else None
+            label = int(own) if own else page.label[stack[-1][1]]
+            if tag == "html":
+                page.label[0] = label
                 continue
-            label = int(marks.get("data-label") or page.label[stack[-1][1]])
             node = add(tag, " ".join(marks.get(k, "") for k in ("class", "id", "role")), label)
             push(tag, node)
         else:
@@ -190,9 +199,11 @@ def features(page: Page) -> list[list[int]]:
         size[node] += len(text)
         last[node] = text
         parts[node] += 1
+    # a page without any element that speaks for itself is likely nothing but text
+    bare = not any(t in SPEAKING or n.strip() for t, n in zip(page.tag, page.names, strict=True))
     out = []
     for k, tag in enumerate(page.tag):
-        on = ["bias", "tag " + tag if "tag " + tag in FEATURES else "tag other"]
+        on = ["bias", *(["bare page"] if bare and k == 0 else []), "tag " + tag if "tag " + tag in FEATURES else "tag other"]
         on.append("empty" if not size[k] else "short" if size[k] < 40 else "middle" if size[k] < 200 else "long")
         if size[k]:
             share = page.linked[k] / size[k]
@@ -356,11 +367,12 @@ def labelled_pages(n: int = 400, seed: int = 3) -> list[Page]:
         body = "".join([*before, article(), *after])
         if rng.random() < 0.3:
             body = f"<div class='{pick('page', 'wrapper', 'container')}'>{body}</div>"
-        if rng.random() < 0.1:  # a page that is nothing but text
-            bare = "".join(f"<p>{say(4, 60)}</p>" for _ in range(4))
-            out.append(parse(f'<html><body data-label="1">{bare}</body></html>'))
+        if rng.random() < 0.2:  # a page that is nothing but text, with or without a body element
+            lines = [f"<p>{say(4, pick(20, 60))}</p>" for _ in range(rng.integers(1, 7))]
+            lines[:0] = pick([], [], [f"<h1>{say(2, 10, '')}</h1>"])
+            out.append(parse(f'<html data-label="1">{pick("", "<body>")}{"".join(lines)}', labelled=True))
             continue
-        out.append(parse(f"<html><body>{body}</body></html>"))
+        out.append(parse(f"<html><body>{body}</body></html>", labelled=True))
     return out
 
 

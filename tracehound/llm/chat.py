@@ -10,7 +10,8 @@ in a row.
 
 Control strings inside texts are escaped: between ``<`` and ``|`` one backslash more is put,
 however many were there, and taken away on reading. So an escaped text never holds ``<|``,
-and every text comes back as it was.
+and every text comes back as it was. Neighbouring text parts are one text: they are joined
+before they are escaped, so no control string can be put together from pieces.
 
 ``read_back`` reads formatted pieces: it finds the marks, takes roles and texts from between
 them and unescapes. A digest over a conversation needs its turns in order; they are sorted in
@@ -57,13 +58,16 @@ def unescape(text: str) -> str:
 
 
 class PartVisitor:
-    """One method per kind of part: each gives the rendered text and the tokens it expands to."""
+    """One method per kind of part: each gives what stands for it and the tokens it expands to.
+
+    What ``visit_text`` gives is escaped with the texts beside it; the others give placeholders.
+    """
 
     def __init__(self, patch: int = 28, audio_rate: float = 25.0, page_tokens: int = 1500):
         self.patch, self.audio_rate, self.page_tokens = patch, audio_rate, page_tokens
 
     def visit_text(self, part: Column) -> tuple[Column, Column]:
-        return escape(F.coalesce(part["text"], F.lit(""))), F.lit(0)
+        return F.coalesce(part["text"], F.lit("")), F.lit(0)
 
     def visit_image(self, part: Column) -> tuple[Column, Column]:
         side = lambda name: F.ceil(F.coalesce(part[name], F.lit(self.patch)) / self.patch)
@@ -85,7 +89,20 @@ class PartVisitor:
             own_text, own_tokens = method(part)
             rendered = F.when(part["kind"] == kind, own_text).otherwise(rendered)
             tokens = F.when(part["kind"] == kind, own_tokens.cast("long")).otherwise(tokens)
-        return F.struct(rendered.alias("rendered"), tokens.cast("long").alias("tokens"))
+        is_text = part["kind"].eqNullSafe("text")
+        return F.struct(rendered.alias("rendered"), tokens.cast("long").alias("tokens"), is_text.alias("is_text"))
+
+    @staticmethod
+    def _joined(seen: Column) -> Column:
+        """Texts and placeholders in order; runs of texts are escaped as one."""
+        nothing = F.struct(F.lit("").alias("done"), F.lit("").alias("text"))
+
+        def add(held: Column, part: Column) -> Column:
+            more_text = F.struct(held["done"].alias("done"), F.concat(held["text"], part["rendered"]).alias("text"))
+            placed = F.struct(F.concat(held["done"], escape(held["text"]), part["rendered"]).alias("done"), F.lit("").alias("text"))
+            return F.when(part["is_text"], more_text).otherwise(placed)
+
+        return F.aggregate(seen, nothing, add, lambda held: F.concat(held["done"], escape(held["text"])))
 
     def flatten(self, parts: Column) -> Column:
         """content, attachments (place, kind, ref, tokens) and expanded_tokens of a turn."""
@@ -94,7 +111,7 @@ class PartVisitor:
         # texts keep their place as well: a text part never counts as an attachment
         listed = F.transform(parts, lambda p, i: F.struct(i.alias("place"), p["kind"].alias("kind"), p["ref"].alias("ref"), self.visit(p)["tokens"].alias("tokens")))
         return F.struct(
-            F.array_join(F.transform(seen, lambda s: s["rendered"]), "").alias("content"),
+            self._joined(seen).alias("content"),
             F.filter(listed, lambda a: ~a["kind"].eqNullSafe("text")).alias("attachments"),
             F.aggregate(seen, F.lit(0).cast("long"), lambda n, s: n + s["tokens"]).alias("expanded_tokens"),
         )

@@ -48,6 +48,16 @@ def plain_words(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(text), F.lit(PLAIN_WORD), F.lit(0))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names that the table does not have yet, made from these."""
+    out = []
+    for name in names:
+        while name in df.columns:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def text_key(text: Column) -> Column:
     """64-bit key of a text, to tell rows of one id apart."""
     return F.xxhash64(text)

@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracehound.llm.common import query, table, text_key, text_of
+from tracehound.llm.common import query, table, text_key, text_of, unused
 from tracehound.runtime import materialize
 
 # The patterns of the base kinds, in the order of their spans at one place.
@@ -162,14 +162,15 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", al
 
     A random token that touches a base span is part of it and gets no span of its own.
     """
+    row_id, row_hash, own, found = unused(docs, "_id", "_hash", "_own", "_more")
     keys = [F.col(doc_id).alias("_id"), text_key(text_of(text)).alias("_hash")]
     span = F.struct(F.col("start"), F.lit(3).alias("ord"), F.lit("random").alias("kind"), F.col("end"))
-    more = random_tokens(docs, keys, alpha, text).distinct().groupBy("_id", "_hash").agg(F.collect_list(span).alias("_more"))
-    base = docs.withColumn("_own", text_key(text_of(text))).withColumn("base_spans", base_spans(text_of(text)))
-    joined = base.join(more, base[doc_id].eqNullSafe(more["_id"]) & (base["_own"] == more["_hash"]), "left")
-    alone = F.filter("_more", lambda r: ~F.exists("base_spans", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    more = random_tokens(docs, keys, alpha, text).distinct().groupBy(F.col("_id").alias(row_id), F.col("_hash").alias(row_hash)).agg(F.collect_list(span).alias(found))
+    base = docs.withColumn(own, text_key(text_of(text))).withColumn("base_spans", base_spans(text_of(text)))
+    joined = base.join(more, base[doc_id].eqNullSafe(more[row_id]) & (base[own] == more[row_hash]), "left")
+    alone = F.filter(found, lambda r: ~F.exists("base_spans", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
     spans = F.array_sort(F.concat(F.col("base_spans"), F.coalesce(alone, F.array().cast(SPAN))))
-    return joined.withColumn("spans", spans).drop("_own", "_id", "_hash", "_more")
+    return joined.withColumn("spans", spans).drop(own, row_id, row_hash, found)
 
 
 def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:

@@ -42,8 +42,7 @@ def test_join_equals_brute_force(spark):
                 group[y] = x
     assert len(got) == len(texts)
     assert [got[i].class_id for i in range(len(texts))] == [find(i) for i in range(len(texts))]
-    missed = sum(links[i] - got[i].n_links for i in range(len(texts)))
-    assert 0 <= missed <= 0.01 * sum(links.values())
+    assert [got[i].n_links for i in range(len(texts))] == [links[i] for i in range(len(texts))]
     assert sum(got[i].stands for i in got) == len({find(i) for i in range(len(texts))})
 
 
@@ -54,7 +53,7 @@ def test_pairs_at_the_threshold_meet(spark):
         sig = r.integers(0, 3, COORDINATES)
         other = np.where(r.random(COORDINATES) < THRESHOLD, sig, sig + 10 + r.integers(0, 3, COORDINATES))
         rows += [(bytes([half]) + pair.to_bytes(4, "big"), s.tolist()) for half, s in enumerate((sig, other))]
-    classes = spark.createDataFrame(rows, "cid binary, sig array<int>").repartition(4).localCheckpoint()
+    classes = spark.createDataFrame(rows, "cid binary, sig array<int>").repartition(4).checkpoint()
     places = collections.defaultdict(set)
     for x in meetings(classes, THRESHOLD, TARGET).select("cid", "node").toPandas().itertuples():
         places[bytes(x.cid)].add(x.node)

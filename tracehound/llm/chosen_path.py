@@ -13,10 +13,14 @@ threshold has met with the target probability, given the deepest node seen. All
 the same coordinates, so a pair that agrees in few of them is weak in every run; the target
 holds over the spread of that number, not only for its mean.
 
-Within a node, classes that agree in too few coordinates with every other are let go; for
-the rest, brute force counts exact Jaccard similarities on the shingles of the texts. A pair that meets
-in several nodes counts in the smallest of them only. What leaves a node is one row per class
-(its links there and the root of its linked group), never its pairs.
+A pair that meets in several nodes belongs to the smallest of them: every class carries the
+list of its nodes (32 bits of each: two nodes of a pair look alike with a chance of 1 in ten
+million), so each node knows. A node first compares coordinates, and keeps the
+classes that agree in enough of them with another one in a pair that belongs to it; only for
+those are the texts fetched, and brute force counts exact Jaccard similarities on their
+shingles. Thus a text travels for the pairs that are compared, not for every meeting. What
+leaves a node is one row per class (its links there and the root of its linked group), never
+its pairs.
 
 Result: one row per input row with its class (smallest id among all texts linked to it
 directly or through others), its number of links (other rows whose similarity reaches the
@@ -41,6 +45,7 @@ from pyspark.sql import functions as F
 
 from tracehound.llm.common import query, table, text_key, text_of
 from tracehound.llm.components import components
+from tracehound.operators.bloom import where_maybe
 from tracehound.runtime import materialize
 
 WORDS = 5
@@ -104,21 +109,21 @@ def signature(tokens: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, text_key, cid (fingerprint of the shingle set; null without words) and sig of every row."""
+    """doc_id, text_key, set_key (fingerprint of the shingle set; null without words) and sig of every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingler()
         for batch in batches:
-            cids, sigs = [], []
+            keys, sigs = [], []
             for t in batch["text"]:
                 tokens = shingles(t)
-                cids.append(xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None)
+                keys.append(xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None)
                 sigs.append(signature(tokens) if len(tokens) else None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_key": batch["text_key"], "cid": cids, "sig": sigs})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_key": batch["text_key"], "set_key": keys, "sig": sigs})
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_key(text_of(text)).alias("text_key"), F.col(text).alias("text"))
     kind = docs.schema[doc_id].dataType.simpleString()
-    return rows.mapInPandas(run, f"doc_id {kind}, text_key long, cid binary, sig array<int>")
+    return rows.mapInPandas(run, f"doc_id {kind}, text_key long, set_key binary, sig array<int>")
 
 
 def survival(depth: int, agree: float, threshold: float) -> float:
@@ -186,8 +191,37 @@ def meetings(classes: DataFrame, threshold: float, target: float) -> DataFrame:
     return places
 
 
-def _linked(sets: list[np.ndarray], cross: int, threshold: float) -> list[tuple[int, int]]:
-    """Pairs of sets at or above the threshold: within all, or with ``cross`` between the first ones and the rest."""
+def _between(pairs: np.ndarray, cross: int) -> np.ndarray:
+    """Of a matrix of pairs each pair once; with ``cross`` only those between the first rows and the rest."""
+    pairs = np.triu(pairs, 1)
+    if cross:
+        pairs[:cross, :cross] = False
+        pairs[cross:, cross:] = False
+    return pairs
+
+
+def _short(nodes: np.ndarray) -> np.ndarray:
+    """The upper half of node numbers, in the same order."""
+    return (nodes.astype(np.int64) >> 32).astype(np.int32)
+
+
+def _owned(node: int, homes: list[bytes]) -> np.ndarray:
+    """Matrix of the pairs that share no node smaller than this one."""
+    here = _short(np.array([node]))[0]
+    smaller = [h[h < here] for h in (np.frombuffer(b, np.int32) for b in homes)]
+    values, codes, counts = np.unique(np.concatenate(smaller), return_inverse=True, return_counts=True)
+    if not (counts > 1).any():
+        return np.ones((len(homes), len(homes)), bool)
+    owner = np.repeat(np.arange(len(homes)), [len(h) for h in smaller])
+    shared = counts[codes] > 1
+    _, codes = np.unique(codes[shared], return_inverse=True)
+    member = np.zeros((len(homes), codes.max() + 1), np.float32)
+    member[owner[shared], codes] = 1
+    return member @ member.T == 0
+
+
+def _linked(sets: list[np.ndarray], cross: int, threshold: float) -> np.ndarray:
+    """Matrix of the pairs of sets at or above the threshold: within all, or with ``cross`` between the first ones and the rest."""
     sizes = np.array([len(s) for s in sets], np.float64)
     values, codes, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(sets)), sizes.astype(np.int64))
@@ -203,12 +237,7 @@ def _linked(sets: list[np.ndarray], cross: int, threshold: float) -> list[tuple[
         held[owner[at:end], codes[at:end] - codes[at]] = 1
         both += held @ held.T
         at = end
-    close = both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-6
-    close = np.triu(close, 1)
-    if cross:
-        close[:cross, :cross] = False
-        close[cross:, cross:] = False
-    return list(zip(*(x.tolist() for x in np.nonzero(close)), strict=True))
+    return _between(both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-6, cross)
 
 
 def _deal(rows: DataFrame, *columns: str) -> DataFrame:
@@ -245,28 +274,25 @@ def _in_groups(dealt: DataFrame, make, schema: str) -> DataFrame:
 
 
 def hopeful(rows: DataFrame) -> DataFrame:
-    """Of rows (node, size, cid, sig) those, as (cid, node, size), that agree with another class of their node in ``AGREE`` coordinates.
+    """Of rows (node, size, cid, sig, nodes) those, as (cid, node), that agree in ``AGREE`` coordinates with another class, in a pair that belongs to the node.
 
     A pair at the threshold fails to with a chance of about one in a million.
     """
 
     def make():
         def work(rows: list, cross: int) -> list[tuple]:
-            sigs = np.stack([r.sig for r in rows])
-            same = np.zeros((len(rows), len(rows)), np.int16)
-            for k in range(COORDINATES):
-                same += sigs[:, k][:, None] == sigs[:, k][None, :]
-            near = same >= AGREE
-            np.fill_diagonal(near, False)
-            if cross:
-                near[:cross, :cross] = False
-                near[cross:, cross:] = False
-            return [(rows[k].cid, rows[k].node, rows[k].size_) for k in np.flatnonzero(near.any(1))]
+            sigs = np.frombuffer(b"".join(r.sig for r in rows), np.uint8).reshape(len(rows), COORDINATES)
+            same = np.zeros((len(rows), len(rows)), np.uint8)
+            for column in np.ascontiguousarray(sigs.T):
+                same += column[:, None] == column[None, :]
+            near = _between(same >= AGREE, cross)
+            if near.any():
+                near &= _owned(rows[0].node, [r.nodes for r in rows])
+            return [(rows[k].cid, rows[k].node) for k in np.flatnonzero(near.any(0) | near.any(1))]
 
         return work
 
-    found = _in_groups(_deal(rows.withColumn("size_", F.col("size")), "size_", "sig"), make, "cid binary, node long, size long")
-    return found.distinct()
+    return _in_groups(_deal(rows, "sig", "nodes"), make, "cid long, node long").distinct()
 
 
 def search(rows: DataFrame, threshold: float) -> DataFrame:
@@ -279,7 +305,7 @@ def search(rows: DataFrame, threshold: float) -> DataFrame:
         shingles, unpack = Shingler(), zstandard.ZstdDecompressor().decompress
 
         def work(rows: list, cross: int) -> list[tuple]:
-            node, links, root = rows[0].node, [0] * len(rows), list(range(len(rows)))
+            root = list(range(len(rows)))
 
             def find(x: int) -> int:
                 while root[x] != x:
@@ -287,20 +313,36 @@ def search(rows: DataFrame, threshold: float) -> DataFrame:
                     x = root[x]
                 return x
 
-            sets = [shingles(unpack(r.packed).decode("utf-8", "surrogatepass")) for r in rows]
-            homes = [set(r.nodes) for r in rows]
-            for a, b in _linked(sets, cross, threshold):
-                if min(homes[a] & homes[b]) == node:
-                    links[a] += rows[b].copies
-                    links[b] += rows[a].copies
-                x, y = sorted((find(a), find(b)), key=lambda k: rows[k].cid)
-                root[y] = x
-            linked = [k for k in range(len(rows)) if links[k] or find(k) != k]
-            return [(rows[k].cid, rows[find(k)].cid, links[k]) for k in linked]
+            linked = _linked([shingles(unpack(r.packed).decode("utf-8", "surrogatepass")) for r in rows], cross, threshold)
+            for a, b in zip(*(x.tolist() for x in np.nonzero(linked))):
+                x, y = find(a), find(b)
+                if x != y:
+                    x, y = sorted((x, y), key=lambda k: rows[k].cid)
+                    root[y] = x
+            own = linked & _owned(rows[0].node, [r.nodes for r in rows])
+            copies = np.array([r.copies for r in rows], np.int64)
+            links = own @ copies + own.T @ copies
+            return [(rows[k].cid, rows[find(k)].cid, int(links[k])) for k in range(len(rows)) if links[k] or find(k) != k]
 
         return work
 
-    return _in_groups(_deal(rows, "copies", "nodes", "packed"), make, "cid binary, root binary, links long")
+    return _in_groups(_deal(rows, "copies", "nodes", "packed"), make, "cid long, root long, links long")
+
+
+def _with_bytes(classes: DataFrame, places: DataFrame) -> DataFrame:
+    """Classes that meet any other: cid, sig and nodes as bytes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            # the lowest byte of a coordinate tells unequal ones apart well enough to let go of most
+            batch["sig"] = [(np.asarray(s, np.int32) & 255).astype(np.uint8).tobytes() for s in batch["sig"]]
+            batch["nodes"] = [_short(np.asarray(n)).tobytes() for n in batch["nodes"]]
+            yield batch
+
+    # a class is in few nodes: at most two for each split on its way, in each run
+    of_class = places.groupBy("cid").agg(F.collect_set("node").alias("nodes"))
+    rows = of_class.join(classes.select("cid", "sig"), "cid").select("cid", "sig", "nodes")
+    return rows.mapInPandas(run, "cid long, sig binary, nodes binary")
 
 
 def _packed(docs: DataFrame, text: str) -> DataFrame:
@@ -318,20 +360,27 @@ def _packed(docs: DataFrame, text: str) -> DataFrame:
 def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, text_key, class_id, n_links, stands (for its class)."""
     members = materialize(signatures(docs, doc_id, text))
-    classes = materialize(members.where("cid is not null").groupBy("cid").agg(F.min("text_key").alias("text_key"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("copies")))
-    places = hopeful(meetings(classes, threshold, target).join(classes.select("cid", "sig"), "cid"))
-    places = materialize(places.groupBy("cid").agg(F.collect_set(F.struct("node", "size")).alias("places")))
-    wanted = places.join(classes.select("cid", "text_key", "copies"), "cid")
-    rows = wanted.join(_packed(docs, text), "text_key").withColumn("nodes", F.col("places.node")).withColumn("_at", F.explode("places"))
+    classes = members.where("set_key is not null").groupBy("set_key").agg(F.min("text_key").alias("text_key"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("copies"))
+    # a short number, as classes travel often
+    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()))
+    met = materialize(meetings(classes, threshold, target))
+    known = materialize(_with_bytes(classes, met))
+    near = hopeful(met.join(known.select("cid", "sig", "nodes"), "cid"))
+    near = materialize(near.join(near.groupBy("node").agg(F.count(F.lit(1)).alias("size")), "node"))
+    wanted = near.groupBy("cid").agg(F.collect_list(F.struct("node", "size")).alias("places"))
+    wanted = materialize(wanted.join(classes.select("cid", "text_key", "copies"), "cid").join(known.select("cid", "nodes"), "cid"))
+    # only texts that will be compared are packed and shuffled, and few others
+    asked = where_maybe(docs.withColumn("_text_key", text_key(text_of(text))), wanted.select(F.col("text_key").alias("_text_key")), ["_text_key"])
+    rows = wanted.join(_packed(asked, text), "text_key").withColumn("_at", F.explode("places"))
     links = materialize(search(rows.select("_at.node", "_at.size", "cid", "copies", "nodes", "packed"), threshold))
     label = components(links.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     counted = links.groupBy("cid").agg(F.sum("links").alias("links"))
-    known = (
-        classes.select("cid", "copies").join(counted, "cid", "left")
+    labelled = (
+        classes.select("set_key", "cid", "copies").join(counted, "cid", "left")
         .join(label.withColumnRenamed("node", "cid"), "cid", "left")
-        .select("cid", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component"))
+        .select("set_key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component"))
     )
-    rows = members.select("doc_id", "text_key", "cid").join(known, "cid", "left")
+    rows = members.select("doc_id", "text_key", "set_key").join(labelled, "set_key", "left")
     place = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_key")
     firsts = rows.where("component is not null").groupBy("component").agg(F.min(place).alias("first"))
     return rows.join(firsts, "component", "left").select(

@@ -59,12 +59,15 @@ def _(x):
     return de.detect_regex(x.ev, _RULES)
 
 
+# A field of the metadata, and a column where the metadata has no such entry.
+_FIELD_PATTERN = r"pam_\w+|agent/[35]$"
+
+
 @query("detect_custom_field_rule", with_ctes(
-    "SELECT * FROM (SELECT event_seq, coalesce(nullif(regexp_extract(coalesce(nullif(auth_result, ''), ''), '(?i)pam_\\w+', 0), ''), "
-    "nullif(regexp_extract(user_agent, '(?i)pam_\\w+', 0), ''), nullif(regexp_extract(method, '(?i)post', 0), '')) AS matched_pattern FROM ev WHERE true) y "
-    "WHERE matched_pattern = 'pam_failure'", "ev"))
+    f"""SELECT * FROM (SELECT event_seq, coalesce(nullif(regexp_extract(auth_result, '(?i){_FIELD_PATTERN}', 0), ''),
+    nullif(regexp_extract(user_agent, '(?i){_FIELD_PATTERN}', 0), '')) AS matched_pattern FROM ev) y WHERE matched_pattern IS NOT NULL""", "ev"))
 def _(x):
-    rule = RegexRule("CUSTOM", "Custom", "LOW", "metadata rule", r"pam_\w+", fields=("authResult", "user_agent"))
+    rule = RegexRule("CUSTOM", "Custom", "LOW", "metadata rule", _FIELD_PATTERN, fields=("authResult", "user_agent"))
     return de.detect_regex(x.ev, [rule]).select("event_seq", "matched_pattern")
 
 

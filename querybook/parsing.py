@@ -358,14 +358,20 @@ def _written(x, column: str, name: str) -> str:
 
 
 @query("scan_log_lines", with_ctes(
-    f"SELECT trim({MIXED_LINE}) AS line, count(*) AS n, true AS numbered FROM lines GROUP BY 1", "lines"))
+    f"SELECT trim({MIXED_LINE}) AS line, count(*) AS n, true AS numbered, true AS ordered FROM lines GROUP BY 1", "lines"))
 def _(x):
     path = _written(x, MIXED_LINE, "lines")
     lines = scan_log_lines(x.spark, f"{path}/*")
-    complete = lines.groupBy("source_file").agg(
-        (F.count_distinct("line_number") == F.max("line_number")).alias("numbered"))
-    return lines.join(complete, "source_file").groupBy("line").agg(
-        F.count(F.lit(1)).alias("n"), F.every("numbered").alias("numbered"))
+    # a file of the query has at most a part of some thousand lines
+    files = lines.groupBy("source_file").agg(
+        (F.count_distinct("line_number") == F.max("line_number")).alias("numbered"),
+        F.array_join(F.array_sort(F.collect_list(F.struct("line_number", "line")))["line"], "\n").alias("joined"),
+        F.array_join(F.array_sort(F.collect_list(F.struct("event_seq", "line")))["line"], "\n").alias("by_seq"))
+    whole = x.spark.read.text(f"{path}/*", wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), "value")
+    files = files.join(whole, "source_file").select(
+        "source_file", "numbered", ((F.col("joined") == F.rtrim(F.regexp_replace("value", r"\s+$", ""))) & (F.col("joined") == F.col("by_seq"))).alias("ordered"))
+    return lines.join(files, "source_file").groupBy("line").agg(
+        F.count(F.lit(1)).alias("n"), F.every("numbered").alias("numbered"), F.every("ordered").alias("ordered"))
 
 
 @query("file_catalog", with_ctes(

@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -165,23 +166,30 @@ def _packed(texts: DataFrame, *also: str) -> DataFrame:
 
 def _pieces(wanted: DataFrame, packed: DataFrame, length: int) -> DataFrame:
     """Adds ``data``, the bytes of each wanted piece. A text's pieces are cut in slices of rows, never all at once."""
+    names = ["tk", "first", "left", "gram", "counted", "large", "data"]
     schema = "tk binary, first int, left int, gram long, counted boolean, large boolean, data binary"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for tk, text, spans in zip(batch["tk"], batch["packed"], batch["spans"], strict=True):
-                text = unpack(text)
-                for at in range(0, len(spans), 20_000):
-                    part = spans[at : at + 20_000]
-                    yield pd.DataFrame(
-                        [(tk, s["first"], s["place"] - s["first"], s["gram"], s["counted"], s["large"], text[s["first"] : s["last"] + length]) for s in part],
-                        columns=["tk", "first", "left", "gram", "counted", "large", "data"],
-                    )
-
-    parts = {"place": F.shiftright("at", 16), "first": _first(), "last": _first() + F.col("at").bitwiseAND(255)}
-    spans = wanted.withColumns(parts).groupBy("tk").agg(F.collect_list(F.struct(*parts, "gram", "counted", "large")).alias("spans"))
-    return spans.join(packed, "tk").select("tk", "packed", "spans").mapInPandas(run, schema)
+            for tk, text, *spans in zip(*(batch.column(i) for i in range(batch.num_columns))):
+                text, tk = unpack(text.as_py()), tk.as_py()
+                # whole arrays: a row object for each span would take longer than all the rest
+                at, gram, counted, large = (x.values.to_numpy(zero_copy_only=False) for x in spans)
+                first = (at >> 16) - (at >> 8 & 255)
+                end = first + (at & 255) + length
+                for k in range(0, len(at), 20_000):
+                    part = slice(k, k + 20_000)
+                    data = [text[f:e] for f, e in zip(first[part].tolist(), end[part].tolist())]
+                    left = (at[part] >> 16) - first[part]
+                    yield pa.record_batch(
+                        [pa.array([tk] * len(data), pa.binary()), pa.array(first[part], pa.int32()), pa.array(left, pa.int32()), pa.array(gram[part]),
+                         pa.array(counted[part], pa.bool_()), pa.array(large[part], pa.bool_()), pa.array(data, pa.binary())], names=names,
+                    )
+
+    listed = F.collect_list(F.struct("at", "gram", "counted", "large"))
+    spans = wanted.groupBy("tk").agg(listed.alias("s")).select("tk", *[F.col("s")[c].alias(c) for c in ("at", "gram", "counted", "large")])
+    return spans.join(packed, "tk").select("tk", "packed", "at", "gram", "counted", "large").mapInArrow(run, schema)
 
 
 def _first():

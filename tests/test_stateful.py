@@ -23,6 +23,15 @@ def events_of(spark, rows):
 
 def run_in_batches(spark, folder, tables, make):
     """Land the parts of all tables batch by batch; run the same stream after each."""
+    # every partition of state starts a worker in every batch
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        return _run_in_batches(spark, folder, tables, make)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def _run_in_batches(spark, folder, tables, make):
     result = None
     for part in range(len(tables[0])):
         for i, parts in enumerate(tables):

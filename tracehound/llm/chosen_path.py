@@ -168,14 +168,15 @@ def leaves(classes: DataFrame, first: int, runs: int, threshold: float) -> tuple
     while True:
         depth += 1
         children = _split(rows, threshold)
-        sizes = children.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.max("parent").alias("parent")).where("size > 1")
-        kept = materialize(children.select("cid", "node").join(sizes, "node"))
+        sizes = materialize(children.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.max("parent").alias("parent")).where("size > 1"))
+        # nearly all classes are alone at once: they are dropped before the join
+        kept = materialize(where_maybe(children.select("cid", "node"), sizes, ["node"]).join(sizes, "node"))
         done = (F.col("size") <= SMALL) | (F.col("size") >= DENSE * F.col("parent"))
         found.append(kept.where(done).select("cid", "node", "size"))
         large = kept.where(~done)
         if large.isEmpty():
             return found, depth
-        rows = large.select("cid", "node", "size").join(classes.select("cid", "sig"), "cid")
+        rows = large.select("cid", "node", "size").join(where_maybe(classes.select("cid", "sig"), large, ["cid"]), "cid")
 
 
 def meetings(classes: DataFrame, threshold: float, target: float) -> DataFrame:
@@ -364,7 +365,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, target: float
     # a short number, as classes travel often
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()))
     met = materialize(meetings(classes, threshold, target))
-    known = materialize(_with_bytes(classes, met))
+    known = materialize(_with_bytes(where_maybe(classes, met, ["cid"]), met))
     near = hopeful(met.join(known.select("cid", "sig", "nodes"), "cid"))
     near = materialize(near.join(near.groupBy("node").agg(F.count(F.lit(1)).alias("size")), "node"))
     wanted = near.groupBy("cid").agg(F.collect_list(F.struct("node", "size")).alias("places"))

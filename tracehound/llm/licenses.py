@@ -76,8 +76,15 @@ def needed(size: int, threshold: float) -> int:
     return max(1, math.ceil(threshold * size - 1e-9))
 
 
-def words_of(lower: Column) -> Column:
-    return F.regexp_extract_all(lower, F.lit(PLAIN_WORD), F.lit(0))
+# ASCII characters that are no part of a word once letters are lower-cased.
+_BETWEEN = "".join(map(chr, (*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80))))
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def words_of(text: Column) -> Column:
+    """Lower-cased words: one pass puts blanks between them, which is far cheaper to split at than a pattern."""
+    spaced = F.translate(text, _UPPER + _BETWEEN, _UPPER.lower() + " " * len(_BETWEEN))
+    return F.array_remove(F.split(spaced, " ", -1), "")
 
 
 def global_order(docs: DataFrame, vocabulary: list[str], text: str = "text") -> list[str]:
@@ -85,7 +92,7 @@ def global_order(docs: DataFrame, vocabulary: list[str], text: str = "text") ->
 
     The result is as long as the vocabulary, whatever the size of ``docs``.
     """
-    held = F.array_intersect(F.lit(sorted(vocabulary)), words_of(ascii_lower(text_of(text))))
+    held = F.array_intersect(F.lit(sorted(vocabulary)), words_of(text_of(text)))
     counts = docs.select(F.explode(held).alias("word")).groupBy("word").count()
     found = {r["word"]: r["count"] for r in counts.collect()}
     return sorted(vocabulary, key=lambda w: (found.get(w, 0), w))
@@ -143,11 +150,11 @@ def license_matches(
     blocks = (
         texts.select("*", F.posexplode(F.split("_text", "\n", -1)).alias("block_no", "block"))
         .drop("_text")
-        .withColumn("_held", held(words_of(ascii_lower(F.col("block")))))
+        .withColumn("_held", held(words_of(F.col("block"))))
     )
     lines = _pairs(blocks, prefixes, least).select(*names, "block_no", "block", "template", "label", (F.size("_both") / F.col("size")).alias("containment"))
 
-    whole = texts.where(F.col("_text").contains("\n")).withColumn("_words", words_of(ascii_lower(F.col("_text")))).drop("_text")
+    whole = texts.where(F.col("_text").contains("\n")).withColumn("_words", words_of(F.col("_text"))).drop("_text")
     near = _pairs(whole.withColumn("_held", held(F.col("_words"))), prefixes, least)
     starts = F.filter(F.sequence(F.lit(1), F.size("_words")), lambda k: F.array_contains("wanted", F.element_at("_words", k)))
     window = lambda k: F.slice("_words", k, F.col("length"))
@@ -166,7 +173,7 @@ def license_matches(
 
 def phrase_places(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, n_base, first_word, last_word and base_labels (array) to ``docs``."""
-    out = docs.withColumn("_words", words_of(ascii_lower(text_of(text))))
+    out = docs.withColumn("_words", words_of(text_of(text)))
     out = out.withColumn("n_words", F.size("_words").cast("long"))
     # words between single spaces, with a space at both ends: positions are counts of spaces
     out = out.withColumn("_line", F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" "))).drop("_words")

@@ -104,3 +104,42 @@ def test_chains_equal_the_batch_chains(spark, tmp_path):
     got = run_in_batches(spark, str(tmp_path), [parts, alerts], lambda e, a: stateful.stream_chains(e, a, 300, 2, "2 hours", "3 hours"))
     assert sorted(map(tuple, got.collect())) == want and len(want) > 3
     assert {w[0] for w in want} <= set("abc")
+
+
+def alerts_at(spark, rows):
+    """(second, address, endpoint) rows as alerts."""
+    rows = [(i, t, ip, endpoint) for i, (t, ip, endpoint) in enumerate(rows)]
+    return spark.createDataFrame(rows, "event_seq long, t long, ip string, endpoint string").selectExpr(
+        "event_seq", "timestamp_seconds(1000000 + t) as ts", "ip", "ip as ip_group", "endpoint", "'app' as source")
+
+
+def test_a_rejected_event_needs_an_alert_within_the_horizon(spark, tmp_path):
+    r = random.Random(9)
+    rows = [(t, r.choice("ab"), 401) for t in range(0, 9000, 30)]
+    about = [(r.randrange(9000), r.choice("ab"), "/other") for _ in range(9)]
+    ev, al = events_of(spark, rows), alerts_at(spark, [*about, (rows[40][0] + 640, rows[40][1], "/other")])
+    near = [*about, (rows[40][0] + 640, rows[40][1], "")]
+    want = sorted((ip, t + 1000000) for t, ip, _ in rows if any(a == ip and abs(at - t) <= 640 for at, a, _ in near))
+    end = "2030-01-01 00:00:00"
+    parts = [ev.where("event_seq < 150"), ev.where("event_seq >= 150"), stateful.end_of_input(spark, ev.schema, end)]
+    alerts = [al.where("ts < timestamp_seconds(1004500)"), al.where("ts >= timestamp_seconds(1004500)"), stateful.end_of_input(spark, al.schema, end)]
+    got = run_in_batches(spark, str(tmp_path), [parts, alerts], lambda e, a: stateful.stream_chains(e, a, 1, 1, "1 minute", "640 seconds"))
+    assert sorted((x["ip"], int(x["start_time"].timestamp())) for x in got.collect()) == want and 0 < len(want) < len(rows)
+
+
+def test_alerts_of_a_busy_address_do_not_pile_up_in_the_joins(spark, tmp_path):
+    """600 alerts at 30 times: a join that holds them all looks at each for each event."""
+    ev = events_of(spark, [(t, "a", 401) for t in range(5)])
+    al = alerts_at(spark, [(t, "a", "/login") for t in range(30)] * 20)
+    for name, df in (("ev", ev), ("al", al)):
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        streams = [spark.readStream.schema(df.schema).parquet(f"{tmp_path}/{name}") for name, df in (("ev", ev), ("al", al))]
+        query = (stateful.stream_chains(*streams, horizon="1 hour").writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/offsets")
+                 .outputMode("append").trigger(availableNow=True).start())
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    held = [o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"] if o["operatorName"] == "symmetricHashJoin"]
+    assert held and max(held) <= 35

@@ -1,10 +1,13 @@
 """Layouts of JSON files end to end: lines, arrays, objects over lines, noise, long lines."""
 
 import json
+import pickle
 
+import pyarrow as pa
 import pytest
 
 from test_hostile import lines_of
+from tracehound.functions.json_scan import ObjectScan, State
 from tracehound.sources import json_layouts
 from tracehound.sources.json_layouts import EXTRA_BASE, json_layout, json_objects, scan_json_events
 
@@ -80,3 +83,15 @@ def test_a_file_that_ends_without_a_brace_gets_none(spark, tmp_path):
     (tmp_path / "c.json").write_text("[]")
     (tmp_path / "d.json").write_text("")
     assert by_file(scan_json_events(spark, str(tmp_path)).collect()) == {"a.json": [{"a": 1}], "b.json": [{"a": 1}, {"b": 2}]}
+
+
+def test_what_a_task_holds_does_not_grow_with_the_blocks_of_a_batch(monkeypatch):
+    """Objects of a block leave the task before the last block of its batch is read."""
+    monkeypatch.setattr(json_layouts, "_BLOCK_BYTES", 1000)
+    text, n = json.dumps({"a": "x" * 90}) * 12, 20
+    columns = [["f"] * n, list(range(n)), [text] * n, [None] * n, [None] * n, [pickle.dumps(State())] * n, [0] * n, [0] * n]
+    names = ["source_file", "block", "text", "numbers", "seqs", "state", "lines_before", "end_depth"]
+    kinds = (pa.string(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.int32())
+    batch = pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+    found = [b.num_rows for b in json_layouts._cutter(ObjectScan)(iter([batch]))]
+    assert sum(found) == 12 * n and max(found) == 12

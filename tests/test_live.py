@@ -61,6 +61,19 @@ def test_splits_share_no_line(spark, tmp_path):
         assert [r["text"] for r in rows] == lines * 5
 
 
+def test_many_short_files_are_one_task(tmp_path):
+    from tracehound.sources.tail import TailReader
+
+    for i in range(50):
+        (tmp_path / f"{i:02}.log").write_text(f"a{i}\nb{i}\ncut")
+    reader = TailReader(str(tmp_path), "read", 1 << 20)
+    parts = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    assert len(parts) == 1
+    rows = [r for batch in reader.read(parts[0]) for r in batch.to_pylist()]
+    assert [r["value"] for r in rows] == [f"{c}{i}" for i in range(50) for c in "ab"]
+    assert [r["source_file"][-6:] for r in rows[::2]] == [f"{i:02}.log" for i in range(50)] and {r["block_start"] for r in rows} == {0}
+
+
 def test_a_file_that_shrinks_is_read_from_its_start(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()

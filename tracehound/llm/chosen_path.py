@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from tracehound.llm.common import query, table, text_key, text_of
 from tracehound.llm.components import components
 from tracehound.operators.bloom import where_maybe
-from tracehound.runtime import materialize
+from tracehound.runtime import materialize, shuffles_removed
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -63,6 +63,8 @@ _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(5).integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+# coordinates take half as long in 32 bits
+_SHORT_SEEDS, _SHORT_ODD = (_SEEDS >> np.uint64(31)).astype(np.uint32) | np.uint32(1), np.uint32(0x85EBCA6B)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -98,14 +100,14 @@ class Shingler:
 
 def signature(tokens: np.ndarray) -> np.ndarray:
     """The smallest hash of each coordinate, as 32-bit integers."""
-    least = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
-    with np.errstate(over="ignore"):
-        for at in range(0, len(tokens), 2048):
-            hashed = tokens[None, at : at + 2048] * _SEEDS[:, None]
-            hashed ^= hashed >> np.uint64(32)
-            hashed *= _ODD
-            least = np.minimum(least, hashed.min(1))
-    return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    least = np.full(COORDINATES, np.iinfo(np.uint32).max, np.uint32)
+    short = (tokens >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(short), 512):
+        hashed = short[None, at : at + 512] * _SHORT_SEEDS[:, None]
+        hashed ^= hashed >> np.uint32(15)
+        hashed *= _SHORT_ODD
+        least = np.minimum(least, hashed.min(1))
+    return least.view(np.int32)
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -358,8 +360,8 @@ def _packed(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(text_key(text_of(text)).alias("text_key"), F.col(text).alias("text")).mapInPandas(run, "text_key long, packed binary").dropDuplicates(["text_key"])
 
 
-def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: doc_id, text_key, class_id, n_links, stands (for its class)."""
+def _linked_classes(docs: DataFrame, threshold: float, target: float, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Stored tables: all rows, classes of equal sets, links by class, and components."""
     members = materialize(signatures(docs, doc_id, text))
     classes = members.where("set_key is not null").groupBy("set_key").agg(F.min("text_key").alias("text_key"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("copies"))
     # a short number, as classes travel often
@@ -375,6 +377,13 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, target: float
     rows = wanted.join(_packed(asked, text), "text_key").withColumn("_at", F.explode("places"))
     links = materialize(search(rows.select("_at.node", "_at.size", "cid", "copies", "nodes", "packed"), threshold))
     label = components(links.select(F.col("cid").alias("a"), F.col("root").alias("b")))
+    return members, classes, links, label
+
+
+def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per input row: doc_id, text_key, class_id, n_links, stands (for its class)."""
+    with shuffles_removed(docs.sparkSession):
+        members, classes, links, label = _linked_classes(docs, threshold, target, doc_id, text)
     counted = links.groupBy("cid").agg(F.sum("links").alias("links"))
     labelled = (
         classes.select("set_key", "cid", "copies").join(counted, "cid", "left")

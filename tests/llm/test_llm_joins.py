@@ -7,7 +7,7 @@ import numpy as np
 import corpus_pipeline
 from helpers_llm import DOCS, awkward, docs_of, words
 from tracehound.llm import chosen_path, repeats
-from tracehound.llm.chosen_path import COORDINATES, SMALL, TARGET, THRESHOLD, Shingler, jaccard_classes, meetings
+from tracehound.llm.chosen_path import COORDINATES, SMALL, TARGET, THRESHOLD, Shingler, jaccard_classes, leaves, meetings
 from tracehound.llm.components import components
 from tracehound.llm.mixing import Mix, leaf_budgets, mix_sources, with_leaf
 from tracehound.llm.repeats import anchors, remove_repeats, repeated_starts
@@ -60,6 +60,30 @@ def test_pairs_at_the_threshold_meet(spark):
     assert all(places[b"\0" + k] & places[b"\1" + k] for k in (pair.to_bytes(4, "big") for pair in range(3000)))
 
 
+def test_tables_of_deep_levels_have_partitions_for_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(chosen_path, "SMALL", 8)
+    held = {"spark.sql.shuffle.partitions": "20", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    rng = random.Random(4)
+    classes = spark.createDataFrame([(k, [rng.randrange(3) for _ in range(COORDINATES)]) for k in range(300)], "cid long, sig array<int>").repartition(2).checkpoint()
+    try:
+        for key, value in held.items():
+            spark.conf.set(key, value)
+        found, depth = leaves(classes, 0, 2, THRESHOLD)
+        assert depth == len(found) > 2
+        assert all(part.rdd.getNumPartitions() == 1 for part in found[1:])
+        assert meetings(classes, THRESHOLD, TARGET).rdd.getNumPartitions() <= 20
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    # every node that is searched is complete
+    sizes = collections.Counter()
+    for part in found:
+        for r in part.collect():
+            sizes[r.node, r.size] += 1
+    assert sizes and all(size == n for (_, size), n in sizes.items())
+
+
 def test_components_of_a_long_path(spark):
     path = list(range(401))
     random.Random(0).shuffle(path)

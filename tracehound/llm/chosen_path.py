@@ -57,6 +57,7 @@ BLOCK = 384  # classes of a block of a dense node
 AGREE = 35  # coordinates that must agree before texts are compared
 FIRST_DEPTH = 4  # the first runs suffice for nodes that deep
 DENSE = 0.6  # a node that keeps so much of its parent is dense
+ROWS = 20_000  # of a task, once rows carry signatures of 256 bytes
 MEMO_WORDS = 300_000
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -154,31 +155,43 @@ def runs_needed(depth: int, threshold: float, target: float) -> int:
 
 
 def _split(rows: DataFrame, threshold: float) -> DataFrame:
-    """Children of each row's node; keeps cid and the node's size as ``parent``."""
+    """Children of each row's node; keeps cid, sig and the node's size as ``parent``."""
     pick = lambda k: F.pmod(F.xxhash64("node", F.lit(k)), F.lit(COORDINATES)).cast("int")
     child = lambda k: F.xxhash64("node", pick(k), F.get("sig", pick(k)))
     twice = F.pmod(F.xxhash64("node", F.lit(0)), F.lit(1000)) < int(1000 * (1 / threshold - 1))
     nodes = F.when(twice & (pick(1) != pick(2)), F.array(child(1), child(2))).otherwise(F.array(child(1)))
-    return rows.select("cid", F.col("size").alias("parent"), F.explode(nodes).alias("node"))
+    return rows.select("cid", "sig", F.col("size").alias("parent"), F.explode(nodes).alias("node"))
 
 
 def leaves(classes: DataFrame, first: int, runs: int, threshold: float) -> tuple[list[DataFrame], int]:
-    """Rows (cid, node, size) of the nodes to search, for runs ``first`` and on; and the deepest level."""
+    """Rows (cid, node, size) of the nodes to search, for runs ``first`` and on; and the deepest level.
+
+    Few rows split a second time. They fetch their signatures once and carry them from then on,
+    in as many tasks as there are rows for.
+    """
     total = classes.count()
     roots = F.explode(F.array(*[F.xxhash64(F.lit("run"), F.lit(r)) for r in range(first, first + runs)]))
     rows, found, depth = classes.select("cid", "sig", F.lit(total).cast("long").alias("size"), roots.alias("node")), [], 0
+    fit = lambda df: df
+    done = (F.col("size") <= SMALL) | (F.col("size") >= DENSE * F.col("parent"))
     while True:
         depth += 1
         children = _split(rows, threshold)
-        sizes = materialize(children.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.max("parent").alias("parent")).where("size > 1"))
-        # nearly all classes are alone at once: they are dropped before the join
-        kept = materialize(where_maybe(children.select("cid", "node"), sizes, ["node"]).join(sizes, "node"))
-        done = (F.col("size") <= SMALL) | (F.col("size") >= DENSE * F.col("parent"))
+        sizes = children.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.max("parent").alias("parent")).where("size > 1")
+        sizes = materialize(fit(sizes))
+        if depth == 1:
+            # nearly all classes are alone at once: they are dropped before the join
+            kept = where_maybe(children.select("cid", "node"), sizes, ["node"]).join(sizes, "node")
+        else:
+            kept = children.select("cid", "node", "sig").join(sizes, "node").withColumn("sig", F.when(~done, F.col("sig")))
+        kept = materialize(fit(kept))
         found.append(kept.where(done).select("cid", "node", "size"))
         large = kept.where(~done)
-        if large.isEmpty():
+        left = large.count()
+        if not left:
             return found, depth
-        rows = large.select("cid", "node", "size").join(where_maybe(classes.select("cid", "sig"), large, ["cid"]), "cid")
+        fit = lambda df, n=-(-left // ROWS): df.coalesce(n)
+        rows = large.select("cid", "node", "size", "sig") if depth > 1 else materialize(fit(large.select("cid", "node", "size").join(where_maybe(classes.select("cid", "sig"), large, ["cid"]), "cid")))
 
 
 def meetings(classes: DataFrame, threshold: float, target: float) -> DataFrame:
@@ -191,7 +204,8 @@ def meetings(classes: DataFrame, threshold: float, target: float) -> DataFrame:
     places = found[0]
     for part in found[1:]:
         places = places.unionByName(part)
-    return places
+    # a union has the partitions of all its parts
+    return places.coalesce(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _between(pairs: np.ndarray, cross: int) -> np.ndarray:
